@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -188,7 +189,7 @@ def shingles(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
     """Parts of a batch with about `most` bytes in a column, so that work arrays stay bounded. One row is never cut."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     edges = np.searchsorted(np.cumsum(size), np.arange(most, int(size.sum()) + most, most), "left") + 1
     at = 0
     for to in np.unique(np.minimum(np.r_[edges, len(size)], len(size))):

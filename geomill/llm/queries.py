@@ -4,17 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geomill.llm import sharding
+from geomill.llm import bpe, fingerprints, sharding, toxicity
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return sharding.shard_documents(_read(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(_read(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(VOCABULARY)
+    encoded = bpe.encode_documents(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode_documents(encoded, path))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op4_toxicity": op4_toxicity,
+    "op7_fingerprints": op7_fingerprints,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
