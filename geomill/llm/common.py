@@ -157,10 +157,11 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return low, start, end, np.searchsorted(off, start, "right") - 1
 
 
-def shingles(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, off: np.ndarray, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Distinct k-word shingle hashes of each row: values sorted within rows, and the n + 1 offsets.
 
-    A row with words but fewer than k has its whole sequence as one shingle; a row without words has none.
+    A row with words but fewer than k has its whole sequence as one shingle, or none unless `short`; a row without
+    words has none.
     """
     n = len(off) - 1
     low, start, end, row = words(data, off)
@@ -178,7 +179,9 @@ def shingles(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.
             inside = i + j < count[row]  # beyond the end a short row adds nothing
             value = np.where(inside, mixed(value, j) + nxt * np.uint64(0xC2B2AE3D27D4EB4F), value)
     value = mixed(value, 5)
-    use = (i + k <= count[row]) | ((i == 0) & (count[row] < k))
+    use = i + k <= count[row]
+    if short:
+        use |= (i == 0) & (count[row] < k)
     value, row = value[use], row[use]
     order = np.lexsort((value, row))
     value, row = value[order], row[order]

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geomill.llm import bpe, fingerprints, sharding, toxicity
+from geomill.llm import bpe, fingerprints, minhash_dedup, paragraph_dedup, prefix_free, sharding, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -20,11 +21,20 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
 
+def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(_read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_free.remove_repeats(_read(spark, sf_dir, "documents"))
+    return out.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_read(spark, sf_dir, "documents"))
 
@@ -35,11 +45,18 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode_documents(encoded, path))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op3_paragraph_dedup": op3_paragraph_dedup,
     "op4_toxicity": op4_toxicity,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op9_bpe": op9_bpe,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
