@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -166,13 +165,10 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(scan, f"doc_id {kind}, ids binary, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """Rows of decode_documents as doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def digests(decoded: DataFrame, ids: bool = False) -> DataFrame:
+    """Rows of decode_documents as doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if asked for."""
     return decoded.select(
-        "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        "doc_id", *["ids"] * ids, F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
-
-def id_list(packed: bytes) -> list[int]:
-    return list(itertools.chain(np.frombuffer(packed, "<u4").tolist()))

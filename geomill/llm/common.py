@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -11,9 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side is broadcast only when a count has shown that it has no more rows than this; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -210,5 +210,6 @@ def packed(values: np.ndarray, off: np.ndarray) -> pa.Array:
     ).cast(pa.binary())
 
 
-def safe_name(name: str) -> str:
-    return re.sub(r"\W", "_", name)
+def with_type(name: str, kind: T.DataType, rest: str) -> T.StructType:
+    """A schema of one column of a given type and others in DDL."""
+    return T.StructType([T.StructField(name, kind), *T.StructType.fromDDL(rest).fields])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from geomill.llm.common import Rolling, slices, small_or_not, text_bytes, written
+from geomill.llm.common import Rolling, slices, small_or_not, text_bytes, with_type, written
 from geomill.llm.near import runs
 
 LENGTH, GRAM = 100, 40
@@ -212,7 +212,7 @@ def _packed(batches):
     for batch in batches:
         for part in slices(batch, "text"):
             z = pa.array([pack.compress((x or "").encode()) for x in part.column("text").to_pylist()], pa.binary())
-            yield part.drop_columns(["text"]).append_column("z", z)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("carried", "doc_id", "doc", "copy")), z], ["carried", "doc_id", "doc", "copy", "z"])
 
 
 def _cut_out(batches):
@@ -236,12 +236,14 @@ def _cut_out(batches):
         if out:
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+                [batch.column("carried"), batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())],
+                ["carried", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that also starts earlier in the corpus.
 
     Earlier means a smaller id, or the same document and an earlier start; strings never cross documents, overlap
@@ -250,12 +252,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     Null text: as the empty text. Null id: before all others. Rows that share an id: separate documents in the order
     of a hash of their text; wholly equal ones are one place and remove nothing from each other. Texts shorter than
-    `length`: whole. Empty table: no rows. Other columns are not carried.
+    `length`: whole. Empty table: no rows. The columns named in `carry` come back as fields of the struct `carried`,
+    so their names clash with none; others are not carried.
     """
     kind = docs.schema[key].dataType.simpleString()
     d = docs.select(
         F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("doc"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.lit(0).alias("copy"),
+        F.struct(F.lit(None).cast("int").alias("_"), *carry).alias("carried"),
     )
     if not d.groupBy("doc").count().where("count > 1").isEmpty():
         d = d.withColumn("copy", (F.dense_rank().over(W.partitionBy("doc").orderBy(F.xxhash64("text"))) - 1).cast("int"))
@@ -270,12 +274,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     wanted = wanted.groupBy("doc", "copy").agg(
         F.collect_list(F.struct("key", "at", F.col("n").cast("int").alias("n"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted")
     )
-    z = d.mapInArrow(_packed, f"doc_id {kind}, doc long, copy int, z binary")
+    carried = d.schema["carried"].dataType
+    z = d.select("carried", "doc_id", "doc", "copy", "text").mapInArrow(_packed, with_type("carried", carried, f"doc_id {kind}, doc long, copy int, z binary"))
     contexts = z.select("doc", "copy", "z").join(wanted, ["doc", "copy"])
     contexts = contexts.mapInArrow(_contexts(length), "grp long, doc long, copy int, at int, n int, bytes binary")
     contexts = contexts.repartition("grp").sortWithinPartitions("grp", "doc", "copy", "at")
     gone = contexts.mapInArrow(_sorted(length), "doc long, copy int, lo int, hi int")
     gone = gone.union(told.where("again").select("doc", "copy", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).cast("int").alias("hi")))
     gone = gone.groupBy("doc", "copy").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
-    out = z.join(gone, ["doc", "copy"], "left").select("doc_id", "z", F.coalesce("gone", F.array().cast("array<struct<lo:int,hi:int>>")).alias("gone"))
-    return out.mapInArrow(_cut_out, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = z.join(gone, ["doc", "copy"], "left").select("doc_id", "carried", "z", F.coalesce("gone", F.array().cast("array<struct<lo:int,hi:int>>")).alias("gone"))
+    out = out.mapInArrow(_cut_out, with_type("carried", carried, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"))
+    return out if carry else out.drop("carried")

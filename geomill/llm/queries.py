@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geomill.llm import bpe, fingerprints, minhash_dedup, paragraph_dedup, prefix_free, sharding, toxicity
+from geomill.llm import bpe, cap_filters, fingerprints, license_scan, minhash_dedup, mixing, paragraph_dedup, prefix_free, sharding, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -17,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = prefix_free.remove_repeats(_read(spark, sf_dir, "documents"))
     return out.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
@@ -39,6 +47,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_read(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     encoded = bpe.encode_documents(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -50,15 +62,19 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
     "op3_paragraph_dedup": op3_paragraph_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_fingerprints": op7_fingerprints,
+    "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": license_scan.ORACLE_SQL,
     "op2_sharding": sharding.ORACLE_SQL,
 }

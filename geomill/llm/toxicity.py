@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geomill.llm.common import Rolling, slices, text_bytes
+from geomill.llm.common import Rolling, slices, text_bytes, with_type
 
 #: Hashed features; the weights are one array of this size, whatever the data.
 BITS = 20
@@ -158,7 +158,6 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
     toxic: p_toxic is at least `threshold`. Null, empty and wordless texts: severity 0, not toxic. Repeated rows: one
     result each. Empty table: no rows. Other columns are not carried.
     """
-    kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
     def scan(batches):
@@ -178,4 +177,4 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
                 )
 
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return d.mapInArrow(scan, f"doc_id {kind}, severity double, grade int, p_toxic double, toxic boolean")
+    return d.mapInArrow(scan, with_type("doc_id", d.schema["doc_id"].dataType, "severity double, grade int, p_toxic double, toxic boolean"))
