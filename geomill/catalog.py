@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from geomill.plans import queries
 
 FLAGSHIP = "label_to_geo_buckets"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL
