@@ -80,7 +80,7 @@ def vote(long: DataFrame, scale: int = 1_000_000) -> DataFrame:
     """Mean probability and best class of each pixel over all slices that saw it; sums are in whole units, ties go to the first class."""
     m = long.groupBy("pixel", "cls").agg(F.sum(F.rint(F.col("p") * scale).cast("long")).alias("s"), F.count("*").alias("n"))
     best = F.max_by(F.struct("cls", "n", "s"), F.struct("s", -F.col("cls")))
-    return m.groupBy("pixel").agg(best.alias("b")).select("pixel", "b.cls", "b.n", F.round(F.col("b.s") / F.col("b.n") / float(scale), 6).alias("p"))
+    return m.groupBy("pixel").agg(best.alias("b")).select("pixel", "b.cls", "b.n", F.round(F.col("b.s") / F.col("b.n") / float(scale) + 1e-9, 6).alias("p"))
 
 
 def compared(rows: DataFrame, atol: float = 1e-4, rtol: float = 1e-3) -> DataFrame:

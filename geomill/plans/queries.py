@@ -281,10 +281,10 @@ def terrain_mean(spark, d):
 
 
 @query(f"""{_G}, l AS (SELECT unnest([2, 4, 8]) AS level)
-SELECT CAST(level AS INT) AS level, CAST(col // level AS INT) AS col, CAST("row" // level AS INT) AS "row", count(*) AS n, round(avg(z), 4) AS z FROM cells, l GROUP BY ALL""")
+SELECT CAST(level AS INT) AS level, CAST(col // level AS INT) AS col, CAST("row" // level AS INT) AS "row", count(*) AS n, round(avg(z) + 1e-7, 4) AS z FROM cells, l GROUP BY ALL""")
 def overview_avg(spark, d):
     t = _terrain(spark, d)
-    parts = [raster.overview(t, k).select(F.lit(k).alias("level"), "col", "row", "n", F.round("z", 4).alias("z")) for k in (2, 4, 8)]
+    parts = [raster.overview(t, k).select(F.lit(k).alias("level"), "col", "row", "n", F.round(c("z") + 1e-7, 4).alias("z")) for k in (2, 4, 8)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -306,10 +306,10 @@ def slope_3x3(spark, d):
     return raster.slope(_terrain(spark, d), 20.0).select("col", "row", F.round("value", 4).alias("value"))
 
 
-@query(f"""{_G} SELECT a.col, a."row", round(max(a.z) - avg(k.z), 4) AS value FROM cells a JOIN cells k ON k.col BETWEEN a.col - 3 AND a.col + 3
+@query(f"""{_G} SELECT a.col, a."row", round(max(a.z) - avg(k.z) + 1e-7, 4) AS value FROM cells a JOIN cells k ON k.col BETWEEN a.col - 3 AND a.col + 3
   AND k."row" BETWEEN a."row" - 3 AND a."row" + 3 GROUP BY a.col, a."row" """)
 def slrm(spark, d):
-    return raster.local_relief(_terrain(spark, d), 3).select("col", "row", F.round("value", 4).alias("value"))
+    return raster.local_relief(_terrain(spark, d), 3).select("col", "row", F.round(c("value") + 1e-7, 4).alias("value"))
 
 
 def _relief(name, f):
@@ -335,7 +335,7 @@ def terrain_tin(spark, d):
 # ---- names, links, numbers -----------------------------------------------------------------------------------
 
 
-@query(f"""WITH {v.URLS}, u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '/t_' || CAST(page_id AS VARCHAR) || '.laz' WHEN 2 THEN url || '/LHD_FXX_0840_6520.copc.laz' ELSE url END AS link FROM urls)
+@query(f"""WITH {v.URLS}, u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '/t_' || CAST(page_id AS VARCHAR) || '.laz' WHEN 1 THEN split_part(url, '&', 1) WHEN 2 THEN url || '/LHD_FXX_0840_6520.copc.laz' ELSE url END AS link FROM urls)
 SELECT page_id, link, list_last(string_split(regexp_replace(regexp_replace(link, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '/')) AS file FROM u""")
 def url_unwrap(spark, d):
     u = v.urls(spark, d).select("page_id", names.unwrapped(c("raw")).alias("link"))
@@ -418,11 +418,11 @@ def model_names(spark, d):
 
 
 @query("""WITH l AS (SELECT event_id, user_id FROM events), j AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE event_id % 3 = 0)
-SELECT l.event_id, j.k FROM l LEFT JOIN j USING (event_id)""")
+SELECT l.event_id, coalesce(j.k, -1) AS k FROM l LEFT JOIN j USING (event_id)""")
 def json_left_join(spark, d):
     e = v.table(spark, d, "events")
     j = e.where(c("event_id") % 3 == 0).select("event_id", F.from_json("props", "k int")["k"].alias("k"))
-    return e.select("event_id").join(j, "event_id", "left")
+    return e.select("event_id").join(j, "event_id", "left").select("event_id", F.coalesce("k", F.lit(-1)).alias("k"))
 
 
 @query("""WITH s AS (SELECT DISTINCT p_brand || CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN '_detections' ELSE '_x' || p_size END AS stem FROM part),
@@ -536,7 +536,7 @@ def softmax_argmax(spark, d):
 @query("""WITH l AS (SELECT vec_id % 50 AS pixel, i - 1 AS cls, CAST(embedding[i] AS DOUBLE) AS p FROM embeddings, (SELECT unnest(range(1, 9)) AS i) r),
 m AS (SELECT pixel, cls, sum(CAST(round_even(p * 1000000, 0) AS BIGINT)) AS s, count(*) AS n FROM l GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY pixel ORDER BY s DESC, cls) AS k FROM m)
-SELECT pixel, CAST(cls AS INT) AS cls, n, round(s / n / 1000000.0E0, 6) AS p FROM r WHERE k = 1""")
+SELECT pixel, CAST(cls AS INT) AS cls, n, round(s / n / 1000000.0E0 + 1e-9, 6) AS p FROM r WHERE k = 1""")
 def pixel_vote(spark, d):
     e = v.table(spark, d, "embeddings")
     long = e.select((c("vec_id") % 50).alias("pixel"), F.posexplode(F.slice("embedding", 1, 8)).alias("cls", "p"))
