@@ -60,8 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text with the digests of the ids and of what they decode to."""
     path = public_tokenizers.path(VOCABULARY)
-    decoded = bpe.decode_documents(bpe.encode_documents(docs, path, public_tokenizers.PATTERN), path)
-    return bpe.digests(decoded, ids=True)
+    return bpe.digests(bpe.encode_documents(docs, path, public_tokenizers.PATTERN, decoded=True), ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

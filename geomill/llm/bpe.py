@@ -10,10 +10,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geomill.llm.common import slices
+from geomill.llm.common import bounded_batches, slices
 
-#: Pre-tokens that one Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+#: Pre-tokens that one Python worker remembers. A full memory takes no more, and starts anew after so many misses.
+REMEMBERED, MISSES = 200_000, 2_000_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -99,12 +99,15 @@ class Memory(dict):
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.misses = 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
         ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-        if len(piece) <= 64:
+        self.misses += 1
+        if self.misses > MISSES:
+            self.clear()
+            self.misses = 0
+        if len(piece) <= 64 and len(self) < REMEMBERED:
             self[piece] = ids
         return ids
 
@@ -124,9 +127,13 @@ def _tables(key, raw: bytes, pattern: str):
     return _BUILT[key]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_documents(
+    docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False
+) -> DataFrame:
     """Rows doc_id, ids: the token ids of each whole text as packed little-endian unsigned 32-bit integers.
 
+    With `decoded`, also what decode_documents would give for the ids, in the same pass and so by half the workers.
+
     Each match of `pattern` is encoded separately and there are no special tokens. The vocabulary file is read once
     on the driver and broadcast; its size does not depend on the data. Null text: as the empty text, no ids. Repeated
     rows: one result each. Empty table: no rows. Other columns are not carried.
@@ -134,15 +141,25 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema[key].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
 
     def scan(batches):
-        memory, _, find = _tables((ranks_path, pattern), shared.value, pattern)
+        memory, tokens, find = _tables((ranks_path, pattern), shared.value, pattern)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = [b"".join(map(memory.__getitem__, find(x))) if x else b"" for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                columns = {"doc_id": part.column("doc_id"), "ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    columns["decoded"] = pa.array([_joined(x, tokens) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    d = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return d.mapInArrow(scan, f"doc_id {kind}, ids binary" + ", decoded binary" * decoded)
+
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(scan, f"doc_id {kind}, ids binary")
+def _joined(packed: bytes, tokens: list[bytes]) -> bytes:
+    """The bytes of packed ids."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -159,7 +176,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "ids"):
                 raw = part.column("ids").to_pylist()
-                out = [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in raw]
+                out = [_joined(x, tokens) for x in raw]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(scan, f"doc_id {kind}, ids binary, decoded binary")

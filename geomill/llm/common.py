@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -36,6 +37,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Texts reach Python in batches of so many bytes, not only of so many rows: a worker's memory is bounded by it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to have no more than limit rows, else as it is."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -190,7 +196,7 @@ def shingles(data: np.ndarray, off: np.ndarray, k: int, short: bool = True) -> t
     return value, np.r_[0, np.cumsum(np.bincount(row, minlength=n))]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000):
     """Parts of a batch with about `most` bytes in a column, so that work arrays stay bounded. One row is never cut."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     edges = np.searchsorted(np.cumsum(size), np.arange(most, int(size.sum()) + most, most), "left") + 1
@@ -199,6 +205,23 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
         if to > at:
             yield batch.slice(at, int(to) - at)
             at = int(to)
+    give_back()
+
+
+def _trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: 0
+
+
+_TRIM = _trimmer()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker lives on through stages, beside the heap of its executor."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
 
 
 def packed(values: np.ndarray, off: np.ndarray) -> pa.Array:

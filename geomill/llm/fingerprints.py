@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geomill.llm.common import slices, small_or_not, written
+from geomill.llm.common import bounded_batches, slices, small_or_not, written
 
 _LEAST = -(1 << 63)
 
@@ -113,6 +113,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     their text. Empty table: no rows. Other columns of `docs` are not carried.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     d = docs.select(
         F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("key"), F.col(text).cast("string").alias("text")
     )

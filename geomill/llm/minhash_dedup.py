@@ -8,8 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geomill.llm.common import components, mixed, packed, shingles, slices, small_or_not, text_bytes, written
-from geomill.llm.near import collisions, counted_at_least, exact_classes, minhash, rows_of, set_hash
+from geomill.llm.common import bounded_batches, components, mixed, packed, shingles, slices, small_or_not, text_bytes, written
+from geomill.llm.near import collisions, exact_classes, minhash, rows_of, set_hash
 
 #: A signature has VALUES minima. Of the first CHUNKS * WIDTH, 16 bits each are indexed; of all, 8 bits each are kept.
 VALUES, CHUNKS, WIDTH = 64, 6, 4
@@ -36,7 +36,7 @@ def index_keys(first: np.ndarray) -> np.ndarray:
 def _signed(words: int):
     def scan(batches):
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text"):
                 data, off = text_bytes(part.column("text"))
                 values, at = shingles(data, off, words)
                 n = np.diff(at)
@@ -73,7 +73,7 @@ def _indexed(batches):
 def _sets(words: int):
     def scan(batches):
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text"):
                 data, off = text_bytes(part.column("text"))
                 values, at = shingles(data, off, words)
                 full = pa.array(np.flatnonzero(np.diff(at) > 0))
@@ -97,6 +97,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     null, kept. Rows that share an id: one result each. Empty table: no rows. Other columns are not carried.
     """
     kind = docs.schema[key].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = written(d.mapInArrow(_signed(words), f"doc_id {kind}, n_shingles long, set binary, sig binary, first binary"), "signed")
     own = signed.where("doc_id is not null and set is not null")
@@ -127,5 +128,3 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     gone = near_duplicates(docs, key, text).where("not kept").select(F.col("doc_id").alias(key))
     return docs.join(small_or_not(gone.dropDuplicates()), key, "left_anti")
 
-
-__all__ = ["near_duplicates", "deduplicate", "index_keys", "counted_at_least"]

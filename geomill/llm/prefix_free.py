@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from geomill.llm.common import Rolling, slices, small_or_not, text_bytes, with_type, written
+from geomill.llm.common import Rolling, bounded_batches, slices, small_or_not, text_bytes, with_type, written
 from geomill.llm.near import runs
 
 LENGTH, GRAM = 100, 40
@@ -256,6 +256,7 @@ def remove_repeats(
     so their names clash with none; others are not carried.
     """
     kind = docs.schema[key].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     d = docs.select(
         F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("doc"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.lit(0).alias("copy"),

@@ -53,8 +53,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.encode_documents(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode_documents(encoded, path))
+    return bpe.digests(bpe.encode_documents(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True))
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

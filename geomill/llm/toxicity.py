@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geomill.llm.common import Rolling, slices, text_bytes, with_type
+from geomill.llm.common import Rolling, bounded_batches, slices, text_bytes, with_type
 
 #: Hashed features; the weights are one array of this size, whatever the data.
 BITS = 20
@@ -50,7 +50,7 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _counted(batches):
     """Distinct features of each document with their share of its words in percent."""
     for batch in batches:
-        for part in slices(batch, "text", 1_000_000):
+        for part in slices(batch, "text"):
             data, off = text_bytes(pc.utf8_lower(part.column("text")))
             which, row, n = features(data, off)
             cell, count = np.unique(row << BITS | which, return_counts=True)
@@ -158,6 +158,7 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
     toxic: p_toxic is at least `threshold`. Null, empty and wordless texts: severity 0, not toxic. Repeated rows: one
     result each. Empty table: no rows. Other columns are not carried.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
     def scan(batches):
