@@ -198,8 +198,11 @@ def test_minhash(docs, odd, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.kept}
 
 
-def test_minhash_on_a_large_group_of_near_copies(spark):
-    """Copies edited apart from each other, linked through the original only, and a chain."""
+@pytest.mark.parametrize("large", [1000, 12])
+def test_minhash_on_a_large_group_of_near_copies(spark, monkeypatch, large):
+    """Copies edited apart from each other, linked through the original only, and a chain; whole and split into blocks."""
+    classes = minhash_dedup.exact_classes
+    monkeypatch.setattr(minhash_dedup, "exact_classes", lambda *a: classes(*a, large=large))
     rng = random.Random(1)
     w = _words(rng, 300).split()
     rows = []
