@@ -212,7 +212,7 @@ def _packed(batches):
     for batch in batches:
         for part in slices(batch, "text"):
             z = pa.array([pack.compress((x or "").encode()) for x in part.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("carried", "doc_id", "doc", "copy")), z], ["carried", "doc_id", "doc", "copy", "z"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("carried", "doc_id", "doc", "copy", "first")), z], ["carried", "doc_id", "doc", "copy", "first", "z"])
 
 
 def _cut_out(batches):
@@ -259,12 +259,15 @@ def remove_repeats(
     bounded_batches(docs.sparkSession)
     d = docs.select(
         F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("doc"),
-        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.lit(0).alias("copy"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.lit(0).alias("copy"), F.lit(True).alias("first"),
         F.struct(F.lit(None).cast("int").alias("_"), *carry).alias("carried"),
     )
     if not d.groupBy("doc").count().where("count > 1").isEmpty():
-        d = d.withColumn("copy", (F.dense_rank().over(W.partitionBy("doc").orderBy(F.xxhash64("text"))) - 1).cast("int"))
-    phrases = d.select("doc", "copy", "text").mapInArrow(
+        order = W.partitionBy("doc").orderBy(F.xxhash64("text"), "text")
+        d = d.withColumn("copy", (F.dense_rank().over(order) - 1).cast("int"))
+        d = d.withColumn("first", F.coalesce(F.lag("copy").over(order) != F.col("copy"), F.lit(True)))
+    # only the first of wholly equal rows is parsed and compared; what goes from it goes from all of them
+    phrases = d.where("first").select("doc", "copy", "text").mapInArrow(
         _parsed(length, gram), "key long, phrase long, doc long, copy int, at int, n short, seen boolean"
     )
     phrases = phrases.repartition("key").sortWithinPartitions("key", "phrase", "doc", "copy", "at")
@@ -276,8 +279,10 @@ def remove_repeats(
         F.collect_list(F.struct("key", "at", F.col("n").cast("int").alias("n"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted")
     )
     carried = d.schema["carried"].dataType
-    z = d.select("carried", "doc_id", "doc", "copy", "text").mapInArrow(_packed, with_type("carried", carried, f"doc_id {kind}, doc long, copy int, z binary"))
-    contexts = z.select("doc", "copy", "z").join(wanted, ["doc", "copy"])
+    z = d.select("carried", "doc_id", "doc", "copy", "first", "text").mapInArrow(
+        _packed, with_type("carried", carried, f"doc_id {kind}, doc long, copy int, first boolean, z binary")
+    )
+    contexts = z.where("first").select("doc", "copy", "z").join(wanted, ["doc", "copy"])
     contexts = contexts.mapInArrow(_contexts(length), "grp long, doc long, copy int, at int, n int, bytes binary")
     contexts = contexts.repartition("grp").sortWithinPartitions("grp", "doc", "copy", "at")
     gone = contexts.mapInArrow(_sorted(length), "doc long, copy int, lo int, hi int")

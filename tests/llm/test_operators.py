@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -295,6 +296,26 @@ def test_prefix_free_on_random_texts(spark):
     assert got == cut(rows, 30)
 
 
+def test_prefix_free_on_repeated_rows(spark):
+    """Equal rows are one place and keep what one of them keeps; other rows of an id are documents by hash of their text."""
+    rng = random.Random(11)
+    shared, own = _words(rng, 60), [_words(rng, 60) for _ in range(6)]
+    rows = [
+        (7, own[0] + shared), (7, own[0] + shared), (7, own[1]), (None, own[2]), (None, own[2]), (None, own[2]), (None, own[3] + own[3]),
+        (None, own[3] + own[3]), (9, own[4] + own[2]), (9, own[4] + own[2]), (12, shared + own[5]), (12, shared + own[5]), (13, None), (13, None),
+    ]
+
+    def place(row):
+        h = xxhash.xxh64_intdigest((row[1] or "").encode(), 42)
+        return (row[0] is not None, row[0] or 0, h - (h >> 63 << 64))
+
+    places = sorted(set(rows), key=place)
+    want = {places[i]: v for i, v in cut([(i, t) for i, (_, t) in enumerate(places)], 100).items()}
+    got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in prefix_free.remove_repeats(frame(spark, rows)).collect()]
+    assert collections.Counter(got) == collections.Counter((r[0], want[r]) for r in rows)
+    assert (None, (len(own[2]), 0, 0, own[2].encode())) in got
+
+
 # ---- vectors
 
 
