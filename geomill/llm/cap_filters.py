@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -13,40 +12,86 @@ from pyspark.sql import functions as F
 from geomill.llm.common import components, small_or_not, written
 from geomill.llm.near import runs
 
-#: Independent codes, blocks of each, and filters of one code that a vector passes on average. Two vectors at cosine
-#: 0.95 share about a third of them; several codes even out how many filters a single vector passes.
-CODES, BLOCKS, LIST = 6, 2, 16
+#: Blocks of a code, and filters of one code that a vector passes on average, at any number of vectors.
+BLOCKS, LIST = 2, 16
+#: The chance at most that a pair at the cosine asked for shares no filter; codes are added until it is met. Filters of
+#: one code that share a block are not independent, so a code counts as SPREAD of what independent filters would give.
+MISS, SPREAD = 1e-4, 0.25
+#: Filters grow narrower with the number of vectors while a filter of one vector of a pair holds the other so often.
+SHARED = 0.05
+#: Blocks have at least so many coordinates; a single block has at most so many vectors, which are all tried.
+WIDE, SINGLE = 4, 4096
 #: From so many vectors of one filter on, pairs that share a smaller filter too are left to that one.
 LARGE = 64
 
 
-@lru_cache(maxsize=8 * CODES)
+@lru_cache(maxsize=64)
 def code(number: int, dim: int, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """A random rotation, and `size` random unit vectors for each block of coordinates."""
     rng = np.random.default_rng([20161, number])
     turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     out = []
-    for part in np.array_split(np.arange(dim), min(BLOCKS, dim)):
+    for part in np.array_split(np.arange(dim), blocks_of(dim)):
         c = rng.standard_normal((size, len(part)))
         out.append(c / np.linalg.norm(c, axis=1, keepdims=True) * np.sqrt(len(part) / dim))
     return turn, out
 
 
-def code_size(n: int, dim: int) -> tuple[int, float]:
-    """Vectors a block so that a filter holds a handful of unrelated vectors of n, and the threshold on the inner product."""
-    blocks = min(BLOCKS, dim)
-    size = max(16, int(np.ceil((LIST * max(n, 1000)) ** (1 / blocks))))
-    return size, NormalDist().inv_cdf(1 - LIST / size**blocks) / np.sqrt(dim)
+def blocks_of(dim: int) -> int:
+    return max(1, min(BLOCKS, dim // WIDE))
 
 
-def decode(unit: np.ndarray, size: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def caught(threshold: float, angle: float, dim: int) -> float:
+    """The chance that a random direction has an inner product of `threshold` or more with both of two unit vectors.
+
+    Seen in their plane the direction has an even angle and a length of rho or more with chance (1 - rho^2)^((dim - 2) / 2).
+    With angle 0 this is the size of a spherical cap.
+    """
+    if dim == 1:
+        return 0.5
+    most = np.arccos(threshold) - angle / 2
+    if most <= 0:
+        return 0.0
+    turn = (np.arange(20_000) + 0.5) / 20_000 * most
+    inside = np.clip(1 - (threshold / np.cos(turn + angle / 2)) ** 2, 0, 1)
+    return float((inside ** ((dim - 2) / 2)).mean() * most / np.pi)
+
+
+def _threshold(good) -> float:
+    """The greatest threshold in (0, 1) that is good; smaller ones are good too."""
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if good(mid) else (lo, mid)
+    return lo
+
+
+@lru_cache(maxsize=256)
+def code_size(n: int, dim: int, cosine: float = 0.95) -> tuple[int, int, float]:
+    """Codes, vectors a block, and the threshold on the inner product, so that a filter holds a handful of n vectors.
+
+    The threshold is the exact quantile of a spherical cap, so a vector passes LIST filters of a code on average at any
+    n. Where filters that narrow would seldom hold both of a pair, or too many for a single block, as in few dimensions, they stay wider.
+    """
+    angle = float(np.arccos(np.clip(cosine, -1, 1)))
+    blocks = blocks_of(dim)
+    narrow = _threshold(lambda t: caught(t, angle, dim) >= SHARED * caught(t, 0.0, dim))
+    cap = max(caught(narrow, 0.0, dim), 1 / max(n, 1000))
+    size = max(16, int(np.ceil((LIST / cap) ** (1 / blocks))))
+    size = min(size, SINGLE) if blocks == 1 else size
+    threshold = _threshold(lambda t: caught(t, 0.0, dim) >= LIST / size**blocks)
+    shared = size**blocks * caught(threshold, angle, dim)
+    return max(1, int(np.ceil(-np.log(MISS) / (SPREAD * shared)))), size, threshold
+
+
+def decode(unit: np.ndarray, codes_n: int, size: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and filter of all filter directions whose inner product with a unit vector reaches the threshold.
 
     Partial sums over the blocks are kept only where the best of the remaining blocks can still reach it.
     """
     rows, filters = [], []
     step = max(1, 4_000_000 // size)
-    for number in range(CODES):
+    for number in range(codes_n):
         turn, codes = code(number, unit.shape[1], size)
         for lo in range(0, len(unit), step):
             x, at, scores = unit[lo : lo + step] @ turn, 0, []
@@ -56,9 +101,12 @@ def decode(unit: np.ndarray, size: int, threshold: float) -> tuple[np.ndarray, n
             rest = np.cumsum(np.stack([s.max(1) for s in [*scores[1:], np.zeros((len(x), 1))]], 1)[:, ::-1], 1)[:, ::-1]
             row, which, total = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
             for b, s in enumerate(scores):
-                sums = total[:, None] + s[row]
-                i, j = np.nonzero(sums >= threshold - rest[row, b][:, None])
-                total, which, row = sums[i, j], which[i] * size + j, row[i]
+                found = []
+                for k in range(0, len(row), step):  # several partial sums a row may be left
+                    own = row[k : k + step]
+                    i, j = np.nonzero(total[k : k + step, None] + s[own] >= threshold - rest[own, b][:, None])
+                    found.append((total[i + k] + s[own[i], j], which[i + k] * size + j, own[i]))
+                total, which, row = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (total, which, row)
             rows.append(row + lo)
             filters.append(which + number * size ** len(codes))
     return np.concatenate(rows), np.concatenate(filters)
@@ -69,7 +117,7 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filtered(n: int):
+def _filtered(n: int, cosine: float):
     def scan(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -79,8 +127,7 @@ def _filtered(n: int):
                 for dim in np.unique(dims):
                     own = np.flatnonzero(dims == dim)
                     x = np.frombuffer(b"".join(raw[i] for i in own), np.float64).reshape(len(own), dim)
-                    size, threshold = code_size(n, int(dim))
-                    row, which = decode(_unit(x), size, threshold)
+                    row, which = decode(_unit(x), *code_size(n, int(dim), cosine))
                     for at in range(0, len(row), 20_000):
                         take = pa.array(own[row[at : at + 20_000]])
                         filt = which[at : at + 20_000] ^ (int(dim) << 48)
@@ -96,8 +143,7 @@ def _verified(n: int, cosine: float):
         m = len(x)
         if m < LARGE:
             return
-        size, threshold = code_size(n, dim)
-        row, which = decode(x, size, threshold)
+        row, which = decode(x, *code_size(n, dim, cosine))
         before = which < (filt ^ (dim << 48))
         row, which = row[before], np.unique(which[before], return_inverse=True)[1]
         passed = np.zeros((m, int(which.max()) + 1 if len(which) else 1), np.float32)
@@ -161,7 +207,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     Equal vectors are one class from the start. Each class is dealt to all filters it passes; inside a filter cosines
     are computed in blocks. A code grows with the square root of the number of vectors, so a filter holds a handful
-    of unrelated ones at any size. Returns vec_id, n_links (other vectors linked directly), component_id (smallest
+    of unrelated ones at any size, and codes are as many as a miss chance of MISS needs. Returns vec_id, n_links (other vectors linked directly), component_id (smallest
     vec_id reachable), kept (vec_id = component_id).
 
     Null, empty or zero vectors and those with null or non-finite components link with nothing: n_links 0, their own
@@ -174,7 +220,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     classes = raw.groupBy("form").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("dim", "raw")).alias("r"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "form", "least", "n", "r.*"), "classes")
     count = classes.count()
-    dealt = classes.select("id", "dim", "raw").mapInArrow(_filtered(count), "filter long, id long, dim int, raw binary")
+    dealt = classes.select("id", "dim", "raw").mapInArrow(_filtered(count, cosine), "filter long, id long, dim int, raw binary")
     dealt = dealt.repartition("filter").sortWithinPartitions("filter", "id")
     pairs = written(dealt.mapInArrow(_verified(count, cosine), "a long, b long").dropDuplicates(), "links")
     sides = pairs.union(pairs.select("b", "a"))

@@ -348,6 +348,20 @@ def test_vectors(spark):
     assert cap_filters.near_vectors(again).count() == again.count()
 
 
+@pytest.mark.parametrize(("dim", "n"), [(64, 2_000), (64, 200_000), (64, 2_000_000), (32, 200_000), (2, 2_000)])
+def test_filters_of_near_vectors_at_any_size(dim, n):
+    """Filters a vector passes do not shrink with n, and pairs just above the cosine share one."""
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((2, 150, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    row, which = cap_filters.decode(np.r_[x, y], *cap_filters.code_size(n, dim))
+    assert len(row) / 300 == pytest.approx(cap_filters.LIST * cap_filters.code_size(n, dim)[0], rel=0.25)
+    of = [set(which[row == i].tolist()) for i in range(300)]
+    assert sum(bool(of[i] & of[i + 150]) for i in range(150)) >= 149
+
+
 # ---- licenses
 
 
