@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from geomill.llm.common import written
 #: Domains that the rates are fitted for at most; the model's tables are that wide.
 MOST_DOMAINS = 64
 STEPS, TOLERANCE = 80, 5e-3
-#: Steps after which the rates are written, so that their expression stays short.
-WRITE_EVERY = 8
+#: Weight of the rates' distance to 1 beside the gap to the targets: small, it only makes every step solvable.
+EPSILON = 1e-9
 
 
 def described(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -84,9 +86,11 @@ def mixing_rates(
 
     A domain is a language with a label, as found in the labelled table. A naive Bayes classifier counted on all
     labelled rows gives each document its chances of the domains. Rates r minimise the sum over domains k of
-    (sum_i tokens_i p_ik r_i - b_k)^2 / b_k by projected gradient from r = 1; a step is one aggregation, and a rate is
-    an expression of the totals met so far. targets: b_k by domain; without them, present totals times
-    (share_k / largest share)^(temperature - 1), so the largest domain stays and small ones grow.
+    (sum_i tokens_i p_ik r_i - b_k)^2 / b_k, and of these the ones nearest 1: r_i = max(0, 1 + sum_k p_ik m_k), where the
+    multipliers m are found by Newton steps with line search on the system of the domains, one aggregation for each try.
+    targets: b_k by domain, 0 where one is not named (its gap is weighed by the mean target); without them, present totals
+    times (share_k / largest share)^(temperature - 1), so the largest domain stays and small ones grow. Domains whose
+    totals end off by more than TOLERANCE, as no nonnegative rates reach their targets, are named in a warning.
 
     Returns doc_id, domain (likeliest), n_tokens, rate. Null or empty text: no tokens, its rate is what its traits say.
     Null language: as the empty one. Rows that share an id: each its own. No labelled rows, or no tokens: domain null,
@@ -102,34 +106,63 @@ def mixing_rates(
     k = range(len(names))
     p = [F.get("posterior", F.lit(i)) for i in k]
 
-    def totals(rate: Column, weight: Column | None = None) -> list[float]:
-        w = F.col("n_tokens") * rate if weight is None else F.col("n_tokens") * rate * weight
-        return [x or 0.0 for x in d.agg(*(F.sum(w * p[i]).alias(f"t{i}") for i in k)).first()]
-
-    now = totals(F.lit(1.0))
+    # rates depend on the posteriors alone, so documents that agree in theirs are one row of the system
+    system = written(d.groupBy("posterior").agg(F.sum("n_tokens").cast("double").alias("tokens")), "system")
+    now = [x or 0.0 for x in system.agg(*(F.sum(F.col("tokens") * p[i]) for i in k)).first()]
     most = max(now)
     if most <= 0:
         return d.select("doc_id", "domain", "n_tokens", F.lit(1.0).alias("rate"))
     if targets is None:
         goal = [max(t, 1e-9 * most) * (max(t, 1e-9 * most) / most) ** (temperature - 1) for t in now]
     else:
-        goal = [max(float(targets.get(x, 0.0)), 1e-9 * most) for x in names]
-    # a bound on the curvature: the largest row sum of (sum_i tokens_i p_ik p_il) / sqrt(b_k b_l)
-    mixed = totals(F.lit(1.0), sum((p[i] / math.sqrt(goal[i]) for i in k), F.lit(0.0)))
-    eta = 1.0 / max(m / math.sqrt(b) for m, b in zip(mixed, goal, strict=True))
-    rate: Column = F.lit(1.0)
-    for step in range(STEPS):
-        off = [t / b - 1.0 for t, b in zip(now, goal, strict=True)]
-        if max(map(abs, off)) < TOLERANCE:
-            break
-        move = sum((p[i] * F.lit(eta * off[i]) for i in k), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-        if step % WRITE_EVERY == WRITE_EVERY - 1:
-            d, rate = written(d.select("doc_id", "n_tokens", "posterior", "domain", rate.alias("rate")), "rates"), F.col("rate")
-        now = totals(rate)
+        goal = [max(float(targets.get(x, 0.0)), 0.0) for x in names]
+    rate, off = _solved(system, p, np.array(goal))
+    missed = {x: round(float(o), 4) for x, o in zip(names, off, strict=True) if abs(o) > TOLERANCE}
+    if missed:
+        warnings.warn(f"mixing targets not reached, gaps as shares of them: {missed}", stacklevel=2)
     return d.select("doc_id", "domain", "n_tokens", F.round(rate, 9).alias("rate"))
 
 
+def _solved(system: DataFrame, p: list[Column], goal: np.ndarray) -> tuple[Column, np.ndarray]:
+    """The rate as an expression of the posterior, and the gaps left as shares of the targets."""
+    n = len(goal)
+    scale = np.where(goal > 0, goal, goal.sum() / n or 1.0)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+
+    def rate(m: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), sum((p[i] * F.lit(float(m[i])) for i in range(n)), F.lit(1.0)))
+
+    def met(m: np.ndarray):
+        """Value of the convex dual, totals by domain, and the curvature: of rows with a positive rate."""
+        rows = system.select(F.col("tokens").alias("w"), rate(m).alias("r"), *(p[i].alias(f"p{i}") for i in range(n))).where("r > 0")
+        got = rows.agg(
+            F.sum(F.expr("w * r * r")), *(F.sum(F.expr(f"w * r * p{i}")) for i in range(n)), *(F.sum(F.expr(f"w * p{i} * p{j}")) for i, j in pairs)
+        ).first()
+        got = np.array([x or 0.0 for x in got])
+        curve = np.zeros((n, n))
+        for (i, j), x in zip(pairs, got[n + 1 :], strict=True):
+            curve[i, j] = curve[j, i] = x
+        return got[0] / 2 + EPSILON * (scale * m * m).sum() / 2 - goal @ m, got[1 : n + 1], curve
+
+    m = np.zeros(n)
+    value, total, curve = met(m)
+    root = np.sqrt(scale)
+    for _ in range(STEPS):
+        slope = total + EPSILON * scale * m - goal
+        if np.abs(slope / scale).max() < TOLERANCE / 1000:
+            break
+        # in multipliers scaled by the targets the system is evenly weighted
+        step = -np.linalg.lstsq(curve / np.outer(root, root) + EPSILON * np.eye(n), slope / root, rcond=1e-15)[0] / root
+        size = 1.0
+        while True:
+            tried = met(m + size * step)
+            if tried[0] <= value + 1e-4 * size * (slope @ step) + 1e-13 * abs(value) or size < 1e-6:
+                break
+            size /= 2
+        m, (value, total, curve) = m + size * step, tried
+    return rate(m), (total - goal) / scale
+
+
 def copies(rate: Column, key: Column, at_least: int = 0) -> Column:
     """A whole number of copies whose mean over keys is the rate: floor(rate + u), u in [0, 1) from a hash of the key."""
     u = F.pmod(F.xxhash64(key, F.lit(8)), F.lit(1 << 20)) / float(1 << 20)

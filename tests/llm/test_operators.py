@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from geomill.llm import bpe, cap_filters, fingerprints, license_scan, minhash_dedup, mixing, paragraph_dedup, prefix_free, sharding, toxicity
 from geomill.llm.common import components
@@ -447,6 +448,33 @@ def test_mixing(spark, docs, odd, empty):
     assert mixing.mixing_rates(empty, labels).count() == 0
 
 
+def test_mixing_of_skewed_domains_and_zero_targets(spark):
+    """A small domain that must grow thousandfold, one that is not wanted, and targets that cannot be met together."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        lang = ("en", "de", "fr")[0 if i >= 6 else 1 if i >= 3 else 2]
+        rows.append((i, _words(rng, 400 if lang == "en" else 5), lang, "s", 0, "k", 1, 2, "i", "s", 3, "w", 4, "c"))
+    d = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    traits = mixing.described(d)
+    names, model, prior = mixing._domains(traits, labels, "doc_id", "quality")
+    soft = mixing.posteriors(traits, model, prior).collect()
+    assert names == ["de/1", "en/1", "fr/1"]
+
+    def totals(goal):
+        rate = {x.doc_id: x.rate for x in mixing.mixing_rates(d, labels, goal).collect()}
+        assert all(r >= 0 for r in rate.values())
+        return sum(rate[x.doc_id] * x.n_tokens * np.array(x.posterior) for x in soft)
+
+    assert totals({"de/1": 2e5, "en/1": 2e5, "fr/1": 3e5}) == pytest.approx([2e5, 2e5, 3e5], rel=0.01)
+    assert totals({"en/1": 4e4}) == pytest.approx([0.0, 4e4, 0.0], rel=0.01, abs=100)
+    alike = d.withColumn("lang", F.lit("en")).withColumn("text", F.lit("a b"))
+    both = labels.withColumn("quality", (F.col("doc_id") % 2).cast("int"))
+    with pytest.warns(UserWarning, match="not reached"):
+        mixing.mixing_rates(alike, both, {"en/0": 1e3, "en/1": 1e4}).count()
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(300, 400)] + [(5, 5)]
