@@ -124,7 +124,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without the near-copies: of each component the row with the smallest id stays, all columns kept."""
-    gone = near_duplicates(docs, key, text).where("not kept").select(F.col("doc_id").alias(key))
-    return docs.join(small_or_not(gone.dropDuplicates()), key, "left_anti")
+    """The documents without the near-copies: of each component one row, that with the smallest id, stays, all columns kept.
 
+    Rows that share an id are documents of their own, in the order of a hash of their text; those without an id come
+    last. Of rows that share id and text one stays. Null or wordless texts are in no component and stay.
+    """
+    ids = docs.groupBy(key).count()
+    if ids.where((F.col("count") > 1) | F.col(key).isNull()).isEmpty():
+        gone = near_duplicates(docs, key, text).where("not kept").select(F.col("doc_id").alias(key))
+        return docs.join(small_or_not(gone), key, "left_anti")
+    kind = docs.schema[key].dataType
+    zero = F.lit("").cast(kind) if kind.simpleString() == "string" else F.lit(0).cast(kind)
+    content = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+    row = F.struct(F.col(key).isNull().alias("last"), F.coalesce(F.col(key), zero).alias("id"), content.alias("content"))
+    d = docs.withColumn("__row", row)
+    found = near_duplicates(d.select("__row", text), "__row", text).where("n_shingles > 0")
+    fate = found.groupBy(F.col("doc_id").alias("__row")).agg(F.bool_and("kept").alias("__kept"), F.count("*").alias("__n"))
+    fate = written(fate.where("not __kept or __n > 1"), "fate")
+    rest = d.join(small_or_not(fate), "__row", "left_anti").select(*docs.columns)
+    again = d.join(small_or_not(fate.where("__kept").select("__row")), "__row", "left_semi")
+    whole = F.struct(*docs.columns)
+    again = again.groupBy("__row").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("r")).select("r.*")
+    return rest.union(again)

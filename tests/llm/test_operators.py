@@ -257,6 +257,28 @@ def test_paragraphs(docs, odd, empty):
     assert rest[36] == "" and rest[0] == ROWS[0][1] and rest[9] is None and len(rest) == len(ROWS)
 
 
+def test_repeated_ids_in_deduplication(spark):
+    """A clean text is not removed with the near-copy of its id, and one of rows with equal text stays."""
+    rng = random.Random(13)
+    base, clean, lone, same = (_words(rng, 120) for _ in range(4))
+    near = base + " more"
+    rows = [(1, base), (2, near), (2, clean), (3, lone), (3, lone), (None, same), (None, same), (None, base), (4, None), (4, None)]
+    got = minhash_dedup.deduplicate(frame(spark, rows))
+    assert got.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([(1, base), (2, clean), (3, lone), (None, same), (4, None), (4, None)])
+
+
+def test_paragraphs_of_repeated_ids(spark):
+    """A class is compared by its own line, whichever row of the id holds it."""
+    rng = random.Random(14)
+    rows = []
+    for i in range(12):
+        line = _words(rng, 40)
+        rows += [(i, _words(rng, 40)), (i, line), (i, _words(rng, 40)), (100 + i, line + " more")]
+    got = {(r.doc_id, r.kept_doc_id, r.kept) for r in paragraph_dedup.repeated_paragraphs(frame(spark, rows)).collect()}
+    assert got == {(k, i, k == i) for i in range(12) for k in (i, 100 + i)}
+
+
 # ---- exact substrings
 
 
