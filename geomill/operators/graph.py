@@ -2,42 +2,53 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geomill.operators.stages import discard, written
+
+
+def _least(e: DataFrame) -> DataFrame:
+    """u with its least v, or itself if that is less."""
+    return e.groupBy("u").agg(F.min("v").alias("m"))
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder all executors share."""
-    spark: SparkSession = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
 
+def _with(e: DataFrame, least: DataFrame) -> DataFrame:
+    """e joined to one row for each u. Both sides are dealt anew for the join, so a hub's rows can be split."""
+    return e.withColumn("k", F.struct("u")).join(least.select(F.struct("u").alias("k"), "m"), "k").drop("k")
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """nodes(id) with the smallest id that each reaches over edges(a, b): rows (id, component).
 
-    Each round hangs all greater neighbours of a node on its least one, then all lesser ones (Kiveris et al. 2014), so
-    long chains fold in a logarithmic number of rounds. A step is a partial aggregation and an equi-join.
+def rooted(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """Connected components of edges (a, b): rows (node, component), component being the smallest node.
+
+    Alternates the large-star and small-star steps of Kiveris et al. (2014), so long chains fold in a logarithmic number
+    of rounds. A step is a partial aggregation and an equi-join; every round is written to the shared folder, and the one
+    before it removed. Nulls and loops take no part.
     """
-    e = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = written(e.distinct(), "components")
     before = None
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        up = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = up.groupBy("u").agg(F.min("v").alias("m"))
-        down = up.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(down.union(low.select("u", F.col("m").alias("v"))).distinct())
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        low = _least(both).select("u", F.least("u", "m").alias("m"))
+        star = _with(both, low).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = _least(star)
+        down = _with(star, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, e = e, written(down.union(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        discard(last)
+        state = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        if state == before or state[0] == 0:
             break
         before = state
     else:
         raise RuntimeError("components did not settle")
-    found = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return found.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """nodes(id) with the smallest id that each reaches over edges(a, b): rows (id, component)."""
+    found = rooted(edges, rounds).withColumnRenamed("node", "id")
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
