@@ -1,4 +1,4 @@
-"""Byte-level BPE: encoding with a hierarchical-bitmap rank queue, and decoding."""
+"""Byte-level BPE: encoding with a hierarchical-bitmap rank queue over many pre-tokens at once, and decoding."""
 
 from __future__ import annotations
 
@@ -10,10 +10,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geomill.llm.common import bounded_batches, slices
+from geomill.llm.common import bounded_batches, give_back, slices
 
-#: Pre-tokens that one Python worker remembers. A full memory takes no more, and starts anew after so many misses.
-REMEMBERED, MISSES = 200_000, 2_000_000
+#: Bytes of pre-tokens and ids that one generation of a worker's memory holds; there are two, the older one is dropped.
+GENERATION = 48_000_000
+#: A remembered pre-token takes about so many bytes beside its own and its ids'; longer ones are not remembered.
+EACH, LONGEST = 160, 256
+#: Bytes of text whose new pre-tokens are merged together.
+TOGETHER = 4_000_000
+_NONE = np.iinfo(np.int32).max
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -21,95 +26,148 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token.
-
-    Pairs wait in one bucket per merge rank, which holds positions of a doubly linked list of parts. A bitmap of
-    ranks in words of 64, under a bitmap of words, names the least waiting rank by two find-first-set operations.
-    A bucket is worked off from left to right; an entry whose pair has changed since is skipped.
-    """
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    after = list(range(1, n + 2))
-    before = list(range(-1, n))
-    pair = [-1] * (n + 1)  # the rank of the pair that starts here
-    buckets: dict[int, list[int]] = {}
-    word: dict[int, int] = {}
-    top = 0
-    get = ranks.get
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            pair[i] = r
-            if r in buckets:
-                buckets[r].append(i)
-            else:
-                buckets[r] = [i]
-                w = r >> 6
-                word[w] = word.get(w, 0) | 1 << (r & 63)
-                top |= 1 << w
-    while top:
-        w = (top & -top).bit_length() - 1
-        bits = word[w]
-        rank = w << 6 | (bits & -bits).bit_length() - 1
-        bits &= bits - 1
-        word[w] = bits
-        if not bits:
-            top &= ~(1 << w)
-        spots = buckets.pop(rank)
-        if len(spots) > 1:
-            spots.sort()
-        for i in spots:
-            if pair[i] != rank:
-                continue
-            j = after[i]
-            k = after[j]
-            after[i] = k
-            before[k] = i
-            pair[j] = pair[i] = -1
-            h = before[i]
-            for p, end in ((i, after[k] if k < n else 0), (h, k if h >= 0 else 0)):
-                if not end:
-                    continue
-                r = get(piece[p:end])
-                if r is None:
-                    pair[p] = -1
-                    continue
-                pair[p] = r
-                if r in buckets:
-                    buckets[r].append(p)
-                else:
-                    buckets[r] = [p]
-                    w = r >> 6
-                    word[w] = word.get(w, 0) | 1 << (r & 63)
-                    top |= 1 << w
-    ids = []
-    i = 0
-    while i < n:
-        ids.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return ids
-
-
-class Memory(dict):
-    """Pre-token to its ids as little-endian unsigned 32-bit integers."""
+class Merger:
+    """Merges by rank. A pair of tokens has the rank of the token that their bytes make, if there is one."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
         self.ranks = ranks
-        self.misses = 0
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.n = len(self.tokens)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left * (self.n + 1) + right] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of neighbours, _NONE where no token is made of them."""
+        key = left * (self.n + 1) + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], _NONE)
+
+    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of each pre-token.
+
+        All pre-tokens lie in one array of parts, a doubly linked list with a stop behind each pre-token. Pairs wait in
+        buckets by merge rank, which hold positions of the list. The bitmap has two levels: a bit for each word of 64
+        ranks, and inside a word the ranks themselves. Find-first-set names the first word in which anything waits;
+        each pre-token takes its own lowest rank there and works off all places of it, from left to right. What
+        waits longer stays in the bucket, and an entry whose pair has changed since is skipped.
+        """
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        start = np.r_[0, np.cumsum(size + 1)]
+        total = int(start[-1])
+        token = np.full(total, self.n, np.int64)  # the stop, of which no pair is made
+        owner = np.repeat(np.arange(len(pieces)), size + 1)
+        inside = np.ones(total, bool)
+        inside[start[1:] - 1] = False
+        token[inside] = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        after, before = np.arange(1, total + 1), np.arange(-1, total - 1)
+        rank = np.full(total, _NONE, np.int32)
+        if total > 1:
+            rank[:-1] = self.rank_of(token[:-1], token[1:])
+        buckets: dict[int, list[np.ndarray]] = {}
+        waiting = 0
+
+        def put(spots: np.ndarray) -> int:
+            word = rank[spots] >> 6
+            order = np.argsort(word, kind="stable")
+            spots, word = spots[order], word[order]
+            edge = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            bits = 0
+            for w, part in zip(word[edge].tolist(), np.split(spots, edge[1:]), strict=True):
+                buckets.setdefault(w, []).append(part)
+                bits |= 1 << w
+            return bits
+
+        first = np.flatnonzero(rank != _NONE)
+        if len(first):
+            waiting = put(first)
+        while waiting:
+            w = (waiting & -waiting).bit_length() - 1  # find first set
+            spots = buckets.pop(w)
+            spots = spots[0] if len(spots) == 1 else np.concatenate(spots)
+            spots = np.sort(spots[rank[spots] >> 6 == w])
+            if len(spots) > 1:
+                spots = spots[np.r_[True, spots[1:] != spots[:-1]]]
+            if not len(spots):
+                waiting &= waiting - 1
+                continue
+            own, r = owner[spots], rank[spots]
+            edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            if len(edge) < len(spots):
+                least = np.minimum.reduceat(r, edge)
+                now = r == np.repeat(least, np.diff(np.r_[edge, len(spots)]))
+                left, spots = spots[~now], spots[now]
+                # places of one rank that share a part: every other one of such a row, from its left end
+                chained = np.r_[False, after[spots[:-1]] == spots[1:]]
+                if chained.any():
+                    i = np.arange(len(spots))
+                    spots = spots[(i - np.maximum.accumulate(np.where(chained, 0, i))) % 2 == 0]
+            else:
+                left = spots[:0]
+            if len(left):
+                buckets[w] = [left]
+            else:
+                waiting &= waiting - 1
+            gone = after[spots]
+            then = after[gone]
+            token[spots] = rank[spots]
+            rank[gone] = _NONE
+            inside[gone] = False
+            after[spots] = then
+            before[then] = spots  # a pre-token's last part is followed by its stop
+            back = before[spots]
+            back = back[back >= 0]
+            changed = np.concatenate([spots, back[inside[back]]])
+            rank[changed] = self.rank_of(token[changed], token[after[changed]])
+            changed = changed[rank[changed] != _NONE]
+            if len(changed):
+                waiting |= put(changed)
+        alive = np.flatnonzero(inside)
+        ids = token[alive].astype("<u4")
+        cut = np.searchsorted(alive, start[1:-1])
+        return np.split(ids, cut)
+
+
+class Memory:
+    """Pre-token to its ids as packed little-endian unsigned 32-bit integers, for what was met lately.
+
+    Two generations: a full young one becomes the old one, whose entries are taken over when they are met again.
+    """
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-        self.misses += 1
-        if self.misses > MISSES:
-            self.clear()
-            self.misses = 0
-        if len(piece) <= 64 and len(self) < REMEMBERED:
-            self[piece] = ids
-        return ids
+    def __init__(self, merger: Merger):
+        self.merger = merger
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """A dictionary that has the ids of all pieces."""
+        if self.held > GENERATION:
+            self.old, self.young, self.held = self.young, {}, 0
+        young, old = self.young, self.old
+        new, got = [], {}
+        for piece in pieces.difference(young):
+            ids = old.get(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                got[piece] = ids
+        # in order of length, so that those that end early do not wait in the arrays of long ones
+        new.sort(key=len)
+        got.update(zip(new, (x.tobytes() for x in self.merger.merge([x.encode() for x in new])), strict=True) if new else ())
+        long = [x for x in new if len(x) > LONGEST]
+        apart = {x: got.pop(x) for x in long}
+        young.update(got)
+        self.held += sum(map(len, got)) + sum(map(len, got.values())) + EACH * len(got)
+        return young | apart if apart else young
 
 
 _BUILT: dict = {}
@@ -119,11 +177,8 @@ def _tables(key, raw: bytes, pattern: str):
     """Built once in a Python worker."""
     if key not in _BUILT:
         _BUILT.clear()
-        ranks = read_ranks(raw)
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        _BUILT[key] = (Memory(ranks), tokens, regex.compile(pattern).findall)
+        merger = Merger(read_ranks(raw))
+        _BUILT[key] = (Memory(merger), merger.tokens, regex.compile(pattern).findall)
     return _BUILT[key]
 
 
@@ -134,7 +189,8 @@ def encode_documents(
 
     With `decoded`, also what decode_documents would give for the ids, in the same pass and so by half the workers.
 
-    Each match of `pattern` is encoded separately and there are no special tokens. The vocabulary file is read once
+    Each match of `pattern` is encoded separately and there are no special tokens. The new pre-tokens of some megabytes
+    of text are merged together, and a worker remembers those that it met lately. The vocabulary file is read once
     on the driver and broadcast; its size does not depend on the data. Null text: as the empty text, no ids. Repeated
     rows: one result each. Empty table: no rows. Other columns are not carried.
     """
@@ -146,12 +202,16 @@ def encode_documents(
     def scan(batches):
         memory, tokens, find = _tables((ranks_path, pattern), shared.value, pattern)
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids = [b"".join(map(memory.__getitem__, find(x))) if x else b"" for x in part.column("text").to_pylist()]
+            for part in slices(batch, "text", TOGETHER):
+                found = [find(x) if x else [] for x in part.column("text").to_pylist()]
+                known = memory.learn(set().union(*found)).__getitem__
+                ids = [b"".join(map(known, x)) for x in found]
+                del found
                 columns = {"doc_id": part.column("doc_id"), "ids": pa.array(ids, pa.binary())}
                 if decoded:
                     columns["decoded"] = pa.array([_joined(x, tokens) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
+        give_back()
 
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return d.mapInArrow(scan, f"doc_id {kind}, ids binary" + ", decoded binary" * decoded)
