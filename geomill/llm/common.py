@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -13,74 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A side is broadcast only when a count has shown that it has no more rows than this; beyond it the join shuffles.
-BROADCAST_ROWS = 300_000
+from geomill.operators.graph import rooted as components
+from geomill.operators.stages import discard, shared_dir, written
 
+__all__ = ["components", "discard", "shared_dir", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a local one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        own = spark.sparkContext.getCheckpointDir()
-        if own is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            own = spark.sparkContext.getCheckpointDir()
-        named = own
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write df below the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+#: A side is broadcast only when it is counted to have no more rows, and measured to have no more bytes, than these.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 16_000_000
 
 def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
-    """Texts reach Python in batches of so many bytes, not only of so many rows: a worker's memory is bounded by it."""
+    """Texts reach Python in batches of so many bytes, not only of so many rows: a worker's memory is bounded by it.
+
+    The setting is read when a query runs, which is after the operator has returned, so it stays with the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
 def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to have no more than limit rows, else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b): rows (node, component), component being the smallest node.
+    """df with a broadcast hint if it has at most `limit` rows and BROADCAST_BYTES bytes, else as it is.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014). Each step is a partial
-    aggregation and an equi-join; every round is written to the shared folder. Nulls and loops take no part.
+    Rows are measured by their JSON, which takes about as much as a row of the broadcast table or more.
     """
-    spark = edges.sparkSession
-    kind = edges.schema["a"].dataType
-    e = edges.where("a is not null and b is not null and a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    )
-    e = written(e.distinct(), "cc")
-    before = None
-    for _ in range(rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        star = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = star.groupBy("u").agg(F.min("v").alias("m"))
-        down = star.join(least, "u")
-        star = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            least.select("u", F.col("m").alias("v"))
-        )
-        e = written(star.distinct(), "cc")
-        state = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == before or state[0] == 0:
-            break
-        before = state
-    else:
-        raise RuntimeError("components did not settle")
-    out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    out = out.union(roots)
-    assert out.schema["node"].dataType == kind
-    return out
+    few = df.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*"))).cast("long") + 16), F.lit(0))).first()
+    return F.broadcast(df) if few[0] <= limit and few[1] <= BROADCAST_BYTES else df
 
 
 # ---- bytes and words in Arrow batches -------------------------------------------------------------------------

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geomill.llm.common import Rolling, bounded_batches, slices, text_bytes, with_type
+from geomill.llm.common import Rolling, bounded_batches, discard, give_back, slices, text_bytes, with_type, written
 
 #: Hashed features; the weights are one array of this size, whatever the data.
 BITS = 20
@@ -79,31 +79,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _fit(toxic: np.ndarray, which: np.ndarray, value: np.ndarray, row: np.ndarray, steps: int = 300, l2: float = 1e-3) -> Model:
-    """Maximum likelihood by Adam on the features that tell the classes apart."""
-    weights = np.zeros(1 << BITS, np.float32)
-    n, n1 = len(toxic), int(toxic.sum())
-    if not n1 or n1 == n:
-        return Model(weights, np.array([20.0, 21.0, 22.0]))
-    df1 = np.bincount(which, weights=toxic[row], minlength=1 << BITS)
-    df0 = np.bincount(which, weights=1 - toxic[row], minlength=1 << BITS)
-    odds = np.log((df1 + 0.5) / (n1 + 1)) - np.log((df0 + 0.5) / (n - n1 + 1))
-    z = odds / np.sqrt(1 / (df1 + 0.5) + 1 / (df0 + 0.5))
-    used = np.flatnonzero((np.abs(z) >= 2.5) & (df1 + df0 >= 3))
-    place = np.full(1 << BITS, -1)
-    place[used] = np.arange(len(used))
-    # a toxic document's grade: the third of the share of its words that speak clearly for toxicity
-    clear = (z >= 4) & (odds >= np.log(5))
-    share = np.bincount(row, weights=value * clear[which], minlength=n)
+def _fit(toxic: np.ndarray, col: np.ndarray, val: np.ndarray, row: np.ndarray, clear: np.ndarray, steps: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the columns and thresholds: maximum likelihood by Adam. clear: columns that speak clearly for toxicity.
+
+    A toxic document's grade is the third in which the share of its words that speak clearly for toxicity lies.
+    """
+    n, used = len(toxic), len(clear)
+    share = np.bincount(row, weights=val * clear[col], minlength=n)
     cuts = np.quantile(share[toxic == 1], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, share, "left"), 0)
-    keep = place[which] >= 0
-    col, val, row = place[which][keep], value[keep].astype(np.float64), row[keep]
-    p = np.r_[np.zeros(len(used)), 1.0, 0.0, 0.0]  # weights, first threshold, logs of the gaps between thresholds
+    p = np.r_[np.zeros(used), 1.0, 0.0, 0.0]  # weights, first threshold, logs of the gaps between thresholds
     m, v = np.zeros_like(p), np.zeros_like(p)
     one = np.arange(n)
     for t in range(1, steps + 1):
-        w, (first, *gaps) = p[: len(used)], p[len(used) :]
+        w, (first, *gaps) = p[:used], p[used:]
         theta = first + np.r_[0.0, np.cumsum(np.exp(gaps))]
         score = np.bincount(row, weights=w[col] * val, minlength=n)
         below = np.c_[np.zeros(n), _sigmoid(theta[None, :] - score[:, None]), np.ones(n)]
@@ -115,41 +104,78 @@ def _fit(toxic: np.ndarray, which: np.ndarray, value: np.ndarray, row: np.ndarra
         by_theta[one, grade] -= lo * (1 - lo) / prob
         g = by_theta[:, 1:GRADES].sum(0)
         grad = np.r_[
-            -np.bincount(col, weights=by_score[row] * val, minlength=len(used)) / n + l2 * w,
+            -np.bincount(col, weights=by_score[row] * val, minlength=used) / n + l2 * w,
             -g.sum() / n, -g[1:].sum() / n * np.exp(gaps[0]), -g[2:].sum() / n * np.exp(gaps[1]),
         ]
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad**2
         p = p - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    weights[used] = p[: len(used)]
-    first, *gaps = p[len(used) :]
-    return Model(weights, first + np.r_[0.0, np.cumsum(np.exp(gaps))])
+    first, *gaps = p[used:]
+    return p[:used], first + np.r_[0.0, np.cumsum(np.exp(gaps))]
+
+
+def _only(used: np.ndarray):
+    """Of the features of each document the used ones, by their place in `used`."""
+
+    def scan(batches):
+        for batch in batches:
+            which, value = batch.column("which"), batch.column("value")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(which.offsets.to_numpy()))
+            flat, val = which.flatten().to_numpy(), value.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(used, flat), len(used) - 1)
+            keep = used[at] == flat
+            edge = np.r_[0, np.cumsum(np.bincount(row[keep], minlength=batch.num_rows))].astype(np.int32)
+            cols = [pa.ListArray.from_arrays(edge, pa.array(x)) for x in (at[keep].astype(np.int32), val[keep])]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *cols], ["toxic", "which", "value"])
+
+    return scan
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on at most MAX_TOXIC + MAX_CLEAN labelled documents, the first of each class by hash of id.
 
-    Rows without id, label or text say nothing; of several labels of one id the highest counts. Without labelled rows
-    of both kinds the model finds nothing toxic.
+    Features are counted by class in Spark; those that tell the classes apart (z of the log odds of 2.5 or more, in three
+    documents or more) are used, and only their values in the labelled documents come to the driver. Rows without id,
+    label or text say nothing; of several labels of one id the highest counts. Without labelled rows of both kinds the
+    model finds nothing toxic.
     """
     spark = docs.sparkSession
+    none = Model(np.zeros(1 << BITS, np.float32), np.array([20.0, 21.0, 22.0]))
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("doc_id"))
     known = known.agg(F.max((F.col(label) > 0).cast("int")).alias("toxic"))
     order = F.xxhash64("doc_id")
     some = known.where("toxic = 1").orderBy(order, "doc_id").limit(MAX_TOXIC).collect()
     some += known.where("toxic = 0").orderBy(order, "doc_id").limit(MAX_CLEAN).collect()
     if not some:
-        return Model(np.zeros(1 << BITS, np.float32), np.array([20.0, 21.0, 22.0]))
+        return none
     some = F.broadcast(spark.createDataFrame(some, known.schema))
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
     d = d.join(some, "doc_id").dropDuplicates(["doc_id"]).select("toxic", "text")
-    got = d.mapInArrow(_counted, "toxic int, which array<int>, value array<float>").toArrow()
-    if not got.num_rows:
-        return Model(np.zeros(1 << BITS, np.float32), np.array([20.0, 21.0, 22.0]))
-    got = got.combine_chunks()
+    counted = written(d.mapInArrow(_counted, "toxic int, which array<int>, value array<float>"), "labelled")
+    n, n1 = counted.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n1 or n1 == n:
+        return none
+    df = counted.select("toxic", F.explode("which").alias("which")).groupBy("which")
+    df = df.agg(F.sum("toxic").alias("df1"), F.sum(1 - F.col("toxic")).alias("df0"))
+    odds = F.log((F.col("df1") + 0.5) / (n1 + 1)) - F.log((F.col("df0") + 0.5) / (n - n1 + 1))
+    z = F.col("odds") / F.sqrt(1 / (F.col("df1") + 0.5) + 1 / (F.col("df0") + 0.5))
+    df = df.withColumn("odds", odds).withColumn("z", z).where("abs(z) >= 2.5 and df1 + df0 >= 3")
+    df = df.select("which", (F.col("z") >= 4) & (F.col("odds") >= float(np.log(5)))).toArrow()
+    if not df.num_rows:
+        return none
+    used, clear = df.column(0).to_numpy(), np.asarray(df.column(1))
+    by = np.argsort(used)
+    used, clear = used[by], clear[by].astype(np.float64)
+    got = counted.mapInArrow(_only(used), "toxic int, which array<int>, value array<float>").toArrow().combine_chunks()
     which, value = got.column("which").combine_chunks(), got.column("value").combine_chunks()
     row = np.repeat(np.arange(got.num_rows), np.diff(which.offsets.to_numpy()))
-    return _fit(got.column("toxic").to_numpy().astype(np.float64), which.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy(), row)
+    toxic, col, val = got.column("toxic").to_numpy().astype(np.float64), which.flatten().to_numpy(), value.flatten().to_numpy().astype(np.float64)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[used], thresholds = _fit(toxic, col, val, row, clear)
+    del got, which, value, row, col, val
+    discard(counted)
+    give_back()
+    return Model(weights, thresholds)
 
 
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
