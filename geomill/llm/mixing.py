@@ -10,13 +10,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geomill.llm.common import written
+from geomill.llm.common import discard, small_or_not, written
 
 #: Domains that the rates are fitted for at most; the model's tables are that wide.
 MOST_DOMAINS = 64
-STEPS, TOLERANCE = 80, 5e-3
-#: Weight of the rates' distance to 1 beside the gap to the targets: small, it only makes every step solvable.
-EPSILON = 1e-9
+STEPS, TOLERANCE = 200, 5e-3
+#: Steps after which the rates are written, so that expressions stay short.
+WRITTEN = 20
 
 
 def described(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -85,9 +85,10 @@ def mixing_rates(
     """A nonnegative rate for every document such that expected token totals of the domains match targets.
 
     A domain is a language with a label, as found in the labelled table. A naive Bayes classifier counted on all
-    labelled rows gives each document its chances of the domains. Rates r minimise the sum over domains k of
-    (sum_i tokens_i p_ik r_i - b_k)^2 / b_k, and of these the ones nearest 1: r_i = max(0, 1 + sum_k p_ik m_k), where the
-    multipliers m are found by Newton steps with line search on the system of the domains, one aggregation for each try.
+    labelled rows gives each document its chances p_ik of the domains. Rates r minimise the sum over domains k of
+    (sum_i tokens_i p_ik r_i - b_k)^2 / b_k, by projected gradient from 1: each step adds a multiple of the gradient,
+    which Spark sums over all documents, and cuts rates at 0. Chances depend on the traits alone, so documents that agree
+    in them share a rate, and the steps run on one row for each set of traits.
     targets: b_k by domain, 0 where one is not named (its gap is weighed by the mean target); without them, present totals
     times (share_k / largest share)^(temperature - 1), so the largest domain stays and small ones grow. Domains whose
     totals end off by more than TOLERANCE, as no nonnegative rates reach their targets, are named in a warning.
@@ -96,71 +97,89 @@ def mixing_rates(
     Null language: as the empty one. Rows that share an id: each its own. No labelled rows, or no tokens: domain null,
     rate 1. Empty table: no rows. Other columns are not carried.
     """
-    d = described(docs, key, text, lang)
-    d = written(d, "described")
+    d = written(described(docs, key, text, lang), "described")
     names, model, prior = _domains(d, labels, key, label)
     if not names:
         return d.select("doc_id", F.lit(None).cast("string").alias("domain"), "n_tokens", F.lit(1.0).alias("rate"))
     best = F.get(F.array(*(F.lit(x) for x in names)), (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
-    d = written(posteriors(d, model, prior).select("doc_id", "n_tokens", "posterior", best.alias("domain")), "posteriors")
-    k = range(len(names))
-    p = [F.get("posterior", F.lit(i)) for i in k]
-
-    # rates depend on the posteriors alone, so documents that agree in theirs are one row of the system
-    system = written(d.groupBy("posterior").agg(F.sum("n_tokens").cast("double").alias("tokens")), "system")
-    now = [x or 0.0 for x in system.agg(*(F.sum(F.col("tokens") * p[i]) for i in k)).first()]
+    sets = d.groupBy("traits").agg(F.sum("n_tokens").cast("double").alias("tokens"))
+    system = posteriors(sets, model, prior).select("traits", "tokens", "posterior", best.alias("domain"), F.lit(1.0).alias("r"))
+    system = written(system, "system")
+    now = [x or 0.0 for x in system.agg(*(F.sum(F.col("tokens") * F.get("posterior", F.lit(k))) for k in range(len(names)))).first()]
     most = max(now)
     if most <= 0:
-        return d.select("doc_id", "domain", "n_tokens", F.lit(1.0).alias("rate"))
-    if targets is None:
-        goal = [max(t, 1e-9 * most) * (max(t, 1e-9 * most) / most) ** (temperature - 1) for t in now]
+        rates = system.select("traits", "domain", "r")
     else:
-        goal = [max(float(targets.get(x, 0.0)), 0.0) for x in names]
-    rate, off = _solved(system, p, np.array(goal))
-    missed = {x: round(float(o), 4) for x, o in zip(names, off, strict=True) if abs(o) > TOLERANCE}
-    if missed:
-        warnings.warn(f"mixing targets not reached, gaps as shares of them: {missed}", stacklevel=2)
-    return d.select("doc_id", "domain", "n_tokens", F.round(rate, 9).alias("rate"))
+        if targets is None:
+            goal = [max(t, 1e-9 * most) * (max(t, 1e-9 * most) / most) ** (temperature - 1) for t in now]
+        else:
+            goal = [max(float(targets.get(x, 0.0)), 0.0) for x in names]
+        rates, off = _solved(system, np.array(goal))
+        missed = {x: round(float(o), 4) for x, o in zip(names, off, strict=True) if abs(o) > TOLERANCE}
+        if missed:
+            warnings.warn(f"mixing targets not reached, gaps as shares of them: {missed}", stacklevel=2)
+    out = d.join(small_or_not(rates), "traits")
+    return out.select("doc_id", "domain", "n_tokens", F.round("r", 9).alias("rate"))
+
+
+def _stepped(steps: list[np.ndarray]) -> Column:
+    """The rate after projected steps: r becomes max(0, r + posterior . step), one after the other.
+
+    The steps are one array literal and the plan is the same at every call, so its compiled code is used again.
+    """
+    if not steps:
+        return F.col("r")
+    rows = ", ".join("array(" + ", ".join(f"{float(x)!r}D" for x in step) + ")" for step in steps)
+    dot = "aggregate(zip_with(posterior, s, (a, b) -> a * b), 0D, (a, b) -> a + b)"
+    return F.expr(f"aggregate(array({rows}), r, (x, s) -> greatest(0D, x + {dot}))")
+
 
+def _solved(system: DataFrame, goal: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """Rows traits, domain, r of the projected-gradient fit, and the gaps left as shares of the targets.
 
-def _solved(system: DataFrame, p: list[Column], goal: np.ndarray) -> tuple[Column, np.ndarray]:
-    """The rate as an expression of the posterior, and the gaps left as shares of the targets."""
+    With gaps g = totals - goal, the gradient of a rate (in the metric of tokens) is posterior . (g / scale). A step is
+    first tried scaled by the curvature of the domains over the rows that can move, as plain steps crawl where domains
+    differ in size; if that does not lower the objective, the plain gradient with the step 1 / largest curvature does.
+    """
     n = len(goal)
     scale = np.where(goal > 0, goal, goal.sum() / n or 1.0)
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    p = [F.get("posterior", F.lit(i)) for i in range(n)]
 
-    def rate(m: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), sum((p[i] * F.lit(float(m[i])) for i in range(n)), F.lit(1.0)))
-
-    def met(m: np.ndarray):
-        """Value of the convex dual, totals by domain, and the curvature: of rows with a positive rate."""
-        rows = system.select(F.col("tokens").alias("w"), rate(m).alias("r"), *(p[i].alias(f"p{i}") for i in range(n))).where("r > 0")
-        got = rows.agg(
-            F.sum(F.expr("w * r * r")), *(F.sum(F.expr(f"w * r * p{i}")) for i in range(n)), *(F.sum(F.expr(f"w * p{i} * p{j}")) for i, j in pairs)
-        ).first()
+    def met(steps: list[np.ndarray]):
+        """Objective, gaps, and curvature of the rows with a positive rate."""
+        rows = system.select(F.col("tokens").alias("w"), _stepped(steps).alias("r"), *(p[i].alias(f"p{i}") for i in range(n)))
+        free = "w * cast(r > 0 as double)"
+        got = rows.agg(*(F.sum(F.expr(f"w * r * p{i}")) for i in range(n)), *(F.sum(F.expr(f"{free} * p{i} * p{j}")) for i, j in pairs)).first()
         got = np.array([x or 0.0 for x in got])
         curve = np.zeros((n, n))
-        for (i, j), x in zip(pairs, got[n + 1 :], strict=True):
+        for (i, j), x in zip(pairs, got[n:], strict=True):
             curve[i, j] = curve[j, i] = x
-        return got[0] / 2 + EPSILON * (scale * m * m).sum() / 2 - goal @ m, got[1 : n + 1], curve
+        gap = got[:n] - goal
+        return (gap * gap / scale).sum() / 2, gap, curve
 
-    m = np.zeros(n)
-    value, total, curve = met(m)
     root = np.sqrt(scale)
+    steps: list[np.ndarray] = []
+    value, gap, curve = met(steps)
+    most = np.linalg.eigvalsh(curve / np.outer(root, root))[-1]  # all rows are free at first, so it bounds later ones
     for _ in range(STEPS):
-        slope = total + EPSILON * scale * m - goal
-        if np.abs(slope / scale).max() < TOLERANCE / 1000:
+        if np.abs(gap / scale).max() < TOLERANCE / 1000:
             break
-        # in multipliers scaled by the targets the system is evenly weighted
-        step = -np.linalg.lstsq(curve / np.outer(root, root) + EPSILON * np.eye(n), slope / root, rcond=1e-15)[0] / root
-        size = 1.0
-        while True:
-            tried = met(m + size * step)
-            if tried[0] <= value + 1e-4 * size * (slope @ step) + 1e-13 * abs(value) or size < 1e-6:
+        plain = -gap / scale / max(most, 1e-300)
+        scaled = -np.linalg.lstsq(curve / np.outer(root, root), gap / root, rcond=1e-12)[0] / root
+        for step in (scaled, scaled / 4, plain):
+            tried = met([*steps, step])
+            if tried[0] < 0.9 * value or step is plain:
                 break
-            size /= 2
-        m, (value, total, curve) = m + size * step, tried
-    return rate(m), (total - goal) / scale
+        if tried[0] >= value * (1 - 1e-9):
+            break  # the nearest that nonnegative rates come
+        steps.append(step)
+        value, gap, curve = tried
+        if len(steps) == WRITTEN:
+            before, system = system, written(system.withColumn("r", _stepped(steps)), "system")
+            discard(before)
+            steps = []
+    return system.select("traits", "domain", _stepped(steps).alias("r")), gap / scale
 
 
 def copies(rate: Column, key: Column, at_least: int = 0) -> Column:
