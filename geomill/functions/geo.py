@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 KM = 1000.0
 #: The twelve base colours, in order.
 PALETTE = [
-    (255, 59, 59), (50, 205, 50), (30, 144, 255), (255, 165, 0), (148, 0, 211), (0, 206, 209),
-    (255, 20, 147), (154, 205, 50), (70, 130, 180), (210, 105, 30), (128, 128, 0), (199, 21, 133),
+    (255, 59, 59), (50, 205, 50), (30, 144, 255), (255, 215, 0), (255, 0, 255), (0, 206, 209),
+    (255, 140, 0), (138, 43, 226), (0, 250, 154), (255, 20, 147), (173, 255, 47), (65, 105, 225),
 ]
 
 
@@ -136,3 +136,19 @@ def slice_starts(length: Column, size: int, ratio: float) -> Column:
         raise ValueError("the overlap ratio must be below 1")
     at = F.sequence(F.lit(0), length - 1, F.lit(step))
     return F.transform(at, lambda lo: F.greatest(F.lit(0), F.least(length, lo + size) - size))
+
+
+def compactness(area: Column, perimeter: Column) -> Column:
+    """4 * 3.14159 * area / perimeter^2; 0 without a perimeter."""
+    return F.when(perimeter > 0, 4.0 * 3.14159 * area / (perimeter * perimeter)).otherwise(0.0)
+
+
+def cloud_tile(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """The tile that holds the centre of a cloud; its y is the top edge."""
+    return F.struct(((minx + maxx) / 2.0 / KM).cast("int").alias("x_km"), (((miny + maxy) / 2.0 / KM).cast("int") + 1).alias("y_km"))
+
+
+def label_text(class_id: Column, b: dict[str, Column], width: Column, height: Column) -> Column:
+    """A label line of a pixel box: class, centre and size relative to the image, six decimals."""
+    x, y = (b["x1"] + b["x2"]) / 2.0 / width, (b["y1"] + b["y2"]) / 2.0 / height
+    return F.format_string("%d %.6f %.6f %.6f %.6f", class_id, x, y, (b["x2"] - b["x1"]) / width, (b["y2"] - b["y1"]) / height)

@@ -126,24 +126,77 @@ def unquoted(text: Column) -> Column:
 
 
 # The forms in which links come.
-_V3 = r"urldefense\.com/v3/__(.+?)__;"
+_V3 = r"urldefense\.com/v3/__(.+?)(?:__;|$)"
 _V2 = r"urldefense\.proofpoint\.com/v2/url\?u=([^&]+)"
-_SAFE = r"safelinks\.protection\.outlook\.com/\?url=([^&]+)"
-_SEARCH = r"google\.[a-z.]+/url\?(?:.*&)?(?:q|url)=([^&]+)"
-_CLOUD = r"(https?://[^\s<>]+\.la[sz])"
+_SAFE = r"safelinks\.protection\.outlook\.com/?\?url=([^&]+)"
+_SEARCH = r"google\.com/url\?[^&]*q=([^&]+)"
+_OWN = r"(?i)(https?://data\.geopf\.fr/[^\s\"'<>]+\.(?:laz|las|copc\.laz))"
+_CLOUD = r"(?i)(https?://[^\s\"'<>]+\.(?:laz|las|copc\.laz))"
 
 
 def unwrapped(url: Column) -> Column:
-    """The link inside a protected one, the first form that fits; else the link itself."""
+    """The link inside a protected one, the first form that fits; else the link itself, without blanks around it."""
+    url = F.regexp_replace(url, r"^\s+|\s+$", "")
 
     def found(pattern: str) -> Column:
         return F.nullif(F.regexp_extract(url, pattern, 1), F.lit(""))
 
     return F.coalesce(
-        found(_V3), unquoted(F.translate(found(_V2), "-_", "%/")), unquoted(found(_SAFE)), unquoted(found(_SEARCH)), found(_CLOUD), url
+        found(_V3), unquoted(F.translate(found(_V2), "-_", "%/")), unquoted(found(_SAFE)), unquoted(found(_SEARCH)), found(_OWN), found(_CLOUD), url
     )
 
 
 def url_file(url: Column) -> Column:
     """The last part of a link's path."""
     return F.element_at(F.split(F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit("")), "/"), -1)
+
+
+def anchor(name: Column) -> Column:
+    """struct(x, y) in metres from the four-digit kilometres of a file name; null if it has none."""
+    x, y = (F.regexp_extract(name, r"LHD_FXX_(\d{4})_(\d{4})_", i).try_cast("int") for i in (1, 2))
+    return F.when(x.isNotNull(), F.struct((x * 1000.0).alias("x"), (y * 1000.0).alias("y")))
+
+
+def suffix_of(name: Column) -> Column:
+    """The last suffix of a file name with its dot, or nothing."""
+    return F.regexp_extract(name, r"[^./\\](\.[^./\\]*)$", 1)
+
+
+def normalised_raster(name: Column, x: Column, y: Column, product: Column) -> Column:
+    """The name of a given raster by its tile; without a tile the name stays."""
+    return F.when(x.isNull() | y.isNull(), name).otherwise(F.concat(F.lit("LHD_FXX_"), tile_key(x, y), F.lit("_"), product, F.lit("_A_LAMB93"), suffix_of(name)))
+
+
+def external_cloud(name: Column, x: Column, y: Column, taken: Column) -> Column:
+    """The name of a downloaded cloud by its tile; where that name is taken, with its own stem too."""
+    head, end = F.concat(F.lit("IGN_EXT_"), tile_key(x, y)), suffix_of(name)
+    stem = F.when(F.length(end) > 0, F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
+    return F.when(taken, F.concat(head, F.lit("_"), stem, end)).otherwise(F.concat(head, end))
+
+
+def class_label(label: Column) -> Column:
+    """A class name without blanks around it."""
+    return F.regexp_replace(F.coalesce(label.cast("string"), F.lit("")), r"^\s+|\s+$", "")
+
+
+def colour_index(code: Column) -> Column:
+    """The number of color<number>_...; null if there is none."""
+    return F.regexp_extract(code, r"^color(\d+)_", 1).try_cast("int")
+
+
+def raster_layer(path: Column) -> Column:
+    """The folder above the first `tif`, or MNT if that comes first; else index."""
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    marks = F.transform(parts, lambda p, i: F.when((p == "tif") & (i > 0), F.get(parts, i - 1)).when(p == "MNT", F.lit("MNT")))
+    return F.coalesce(F.get(F.filter(marks, lambda m: m.isNotNull()), F.lit(0)), F.lit("index"))
+
+
+def cluster_name(name: Column, targets: Column) -> Column:
+    """A cluster class's own name, or one made of its target classes."""
+    return F.when(F.coalesce(name, F.lit("")) == "", F.concat(F.lit("cluster_"), F.array_join(targets, "_"))).otherwise(name)
+
+
+def pyramid_levels(levels: Column) -> Column:
+    """Whole numbers above 1 of a list written with commas or semicolons; the default levels if there is none."""
+    parsed = F.filter(F.transform(F.split(F.coalesce(levels, F.lit("")), "[,;]"), lambda x: F.trim(x).try_cast("int")), lambda x: x > 1)
+    return F.when(F.size(parsed) > 0, parsed).otherwise(F.array(*(F.lit(2**i) for i in range(1, 7))))

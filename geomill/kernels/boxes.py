@@ -7,6 +7,8 @@ import numpy as np
 
 def greedy(b: np.ndarray, threshold: float, metric: str) -> np.ndarray:
     """Which boxes stay: each one that stays drives out the later ones that overlap it by the threshold or more."""
+    if metric not in ("IOS", "IOU"):
+        raise ValueError(f"unknown metric: {metric!r}")
     size = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
     keep = np.ones(len(b), bool)
     for i in range(len(b)):
@@ -56,3 +58,27 @@ def exclusive_areas(b: np.ndarray) -> np.ndarray:
         if best > 0:
             taken.append(b[i])
     return out
+
+
+def pairwise_drops(b: np.ndarray, confidence: np.ndarray, tiles: list[set], threshold: float) -> np.ndarray:
+    """Which boxes go: of two in one tile that overlap by more than the threshold the less sure one, the later one on ties.
+
+    Boxes are met in the order given; one that is gone drives out no other.
+    """
+    size = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    gone = np.zeros(len(b), bool)
+    for i in range(len(b)):
+        if gone[i]:
+            continue
+        w = np.minimum(b[i, 2], b[i + 1 :, 2]) - np.maximum(b[i, 0], b[i + 1 :, 0])
+        h = np.minimum(b[i, 3], b[i + 1 :, 3]) - np.maximum(b[i, 1], b[i + 1 :, 1])
+        both = np.maximum(w, 0) * np.maximum(h, 0)
+        union = size[i] + size[i + 1 :] - both
+        for j in np.flatnonzero((union > 0) & (both > threshold * union)) + i + 1:
+            if gone[j] or not tiles[i] & tiles[j]:
+                continue
+            if confidence[i] < confidence[j]:
+                gone[i] = True
+                break
+            gone[j] = True
+    return gone

@@ -11,22 +11,38 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geomill.functions import names
 from geomill.operators import raster
 
 #: Defaults of all settings.
 DEFAULTS = {
-    "app": {"files": {"output_dir": "", "data_mode": "ign_laz"}},
+    "app": {
+        "files": {"output_dir": "", "data_mode": "ign_laz", "input_file": "", "local_laz_dir": "", "existing_mnt_dir": "", "existing_rvt_dir": ""},
+    },
     "processing": {
-        "mnt_resolution": 0.5, "density_resolution": 1.0, "tile_overlap": 20, "max_workers": 4,
+        "mnt_resolution": 0.5, "density_resolution": 1.0, "tile_overlap": 20,
         "filter_expression": "Classification = 2 OR Classification = 6 OR Classification = 66 OR Classification = 67 OR Classification = 9",
-        "products": {"MNT": True, "DENSITE": False, "M_HS": False, "SVF": False, "SLO": False, "LD": True, "SLRM": False, "VAT": False},
+        "pyramids": {"enabled": True, "levels": [2, 4, 8, 16, 32, 64]},
+        "products": {"MNT": True, "DENSITE": False, "M_HS": False, "SVF": False, "SLO": False, "LD": False, "SLRM": False, "VAT": False},
+    },
+    "computer_vision": {
+        "enabled": False, "runs": [], "selected_model": "", "target_rvt": "LD", "confidence_threshold": 0.3, "iou_threshold": 0.5,
+        "generate_annotated_images": False, "generate_shapefiles": False, "models_dir": "models",
+        "sahi": {"slice_height": 640, "slice_width": 640, "overlap_ratio": 0.2},
+    },
+    "rvt_params": {
+        "mdh": {"num_directions": 16, "sun_elevation": 35, "ve_factor": 1, "save_as_8bit": True},
+        "svf": {"noise_remove": 0, "num_directions": 16, "radius": 10, "ve_factor": 1, "save_as_8bit": True},
+        "slope": {"unit": 0, "ve_factor": 1, "save_as_8bit": True},
+        "ldo": {"angular_res": 15, "min_radius": 10, "max_radius": 20, "observer_h": 1.7, "ve_factor": 1, "save_as_8bit": True},
+        "slrm": {"radius": 20, "ve_factor": 1, "save_as_8bit": True},
+        "vat": {"terrain_type": 0, "save_as_8bit": True},
     },
-    "computer_vision": {"enabled": False, "runs": [], "confidence_threshold": 0.3, "iou_threshold": 0.5, "sahi": {"slice_height": 640, "slice_width": 640, "overlap_ratio": 0.2}},
 }
 
 
 def settings(own: dict | None) -> dict:
-    """Defaults overlaid by one's own values, level by level."""
+    """Defaults overlaid by one's own values, level by level; a single model of an older form becomes the only run."""
 
     def overlay(base, over):
         out = copy.deepcopy(base)
@@ -34,7 +50,12 @@ def settings(own: dict | None) -> dict:
             out[k] = overlay(out[k], value) if isinstance(value, dict) and isinstance(out.get(k), dict) else copy.deepcopy(value)
         return out
 
-    return overlay(DEFAULTS, own if isinstance(own, dict) else {})
+    out = overlay(DEFAULTS, own if isinstance(own, dict) else {})
+    vision = out["computer_vision"]
+    if isinstance(vision, dict) and not (isinstance(vision.get("runs"), list) and vision["runs"]):
+        model = str(vision.get("selected_model") or "").strip()
+        vision["runs"] = [{"model": model, "target_rvt": str(vision.get("target_rvt") or "LD").strip()}] if model else []
+    return out
 
 
 @dataclass(frozen=True)
@@ -99,11 +120,29 @@ class Terrain:
         return {k: f(terrain, p["mnt_resolution"]) for k, f in PRODUCTS.items() if p["products"].get(k)}
 
 
-MODES: dict[str, type] = {"ign_laz": Clouds, "local_laz": Clouds, "existing_mnt": Terrain}
+@dataclass
+class Rasters:
+    """Relief products that exist: files (path) of one product to their tile names, without a tile by their own name."""
+
+    options: dict = field(default_factory=lambda: settings(None))
+
+    def products(self) -> list[str]:
+        """The products that runs ask for, each once, in order."""
+        vision = self.options["computer_vision"]
+        return list(dict.fromkeys(r.get("target_rvt", vision["target_rvt"]) for r in vision["runs"])) or [vision["target_rvt"]]
+
+    def run(self, files: DataFrame) -> dict[str, DataFrame]:
+        name = F.regexp_replace("path", r"^.*[/\\]", "")
+        xy = names.tile_xy(name)
+        return {p: files.select("path", names.normalised_raster(name, xy["x_km"], xy["y_km"], F.lit(p)).alias("name")) for p in self.products()}
+
+
+MODES: dict[str, type] = {"ign_laz": Clouds, "local_laz": Clouds, "existing_mnt": Terrain, "existing_rvt": Rasters}
 
 
-def runner(mode: str, *args, **named):
-    """A new runner of a mode; names are exact."""
-    if mode not in MODES:
+def runner(mode: str | None, *args, **named):
+    """A new runner of a mode, whose name may have blanks around it."""
+    name = str(mode or "").strip()
+    if name not in MODES:
         raise ValueError(f"unknown mode: {mode!r}")
-    return MODES[mode](*args, **named)
+    return MODES[name](*args, **named)

@@ -63,17 +63,20 @@ def conf_bucket(spark, d):
     return v.labels(spark, d).select("id", geo.bucket(k).alias("conf_bin"), geo.bucket_colour(k, c("class_id")).alias("conf_color"))
 
 
-_PAL = ", ".join(f"[{r}, {g}, {b}]" for r, g, b in geo.PALETTE)
+def _shade(i: int) -> str:
+    x = f"rgb[{i}]"
+    return f"""CAST(floor(CASE WHEN q >= 0.8 THEN {x} * 0.7E0 WHEN q >= 0.6 THEN {x} * 0.85E0 WHEN q >= 0.4 THEN {x} WHEN q >= 0.2 THEN {x} + (255.0E0 - {x}) * 0.35E0
+ ELSE {x} + (255.0E0 - {x}) * 0.65E0 END) AS INT)"""
 
 
-@query(f"""WITH p AS (SELECT l_linenumber AS k, l_quantity / 50.0E0 AS q, [{_PAL}] AS pal FROM lineitem),
-b AS (SELECT k, q, pal[(k * 5) % 12 + 1] AS rgb FROM p), f AS (SELECT DISTINCT k, q, rgb FROM b)
-SELECT k, q, CAST(floor(CASE WHEN q >= 0.8 THEN rgb[1] * 0.7E0 WHEN q >= 0.6 THEN rgb[1] * 0.85E0 WHEN q >= 0.4 THEN rgb[1] WHEN q >= 0.2 THEN rgb[1] + (255.0E0 - rgb[1]) * 0.35E0 ELSE rgb[1] + (255.0E0 - rgb[1]) * 0.65E0 END) AS INT) AS r,
- CAST(floor(CASE WHEN q >= 0.8 THEN rgb[2] * 0.7E0 WHEN q >= 0.6 THEN rgb[2] * 0.85E0 WHEN q >= 0.4 THEN rgb[2] WHEN q >= 0.2 THEN rgb[2] + (255.0E0 - rgb[2]) * 0.35E0 ELSE rgb[2] + (255.0E0 - rgb[2]) * 0.65E0 END) AS INT) AS g FROM f""")
+@query(f"""WITH p AS (SELECT DISTINCT l_orderkey % 30 AS k, l_quantity / 50.0E0 AS q FROM lineitem),
+b AS (SELECT k, q, CASE k % 12 WHEN 0 THEN [255, 59, 59] WHEN 1 THEN [50, 205, 50] WHEN 2 THEN [30, 144, 255] WHEN 3 THEN [255, 215, 0] WHEN 4 THEN [255, 0, 255]
+  WHEN 5 THEN [0, 206, 209] WHEN 6 THEN [255, 140, 0] WHEN 7 THEN [138, 43, 226] WHEN 8 THEN [0, 250, 154] WHEN 9 THEN [255, 20, 147] WHEN 10 THEN [173, 255, 47]
+  ELSE [65, 105, 225] END AS rgb FROM p)
+SELECT k, q, {_shade(1)} AS r, {_shade(2)} AS g, {_shade(3)} AS b FROM b""")
 def conf_colour(spark, d):
-    k, q = c("l_linenumber"), c("l_quantity") / 50.0
-    p = v.table(spark, d, "lineitem").select(k.alias("k"), q.alias("q")).distinct()
-    return p.select("k", "q", geo.shaded(c("k") * 5, c("q"), 0).alias("r"), geo.shaded(c("k") * 5, c("q"), 1).alias("g"))
+    p = v.table(spark, d, "lineitem").select((c("l_orderkey") % 30).alias("k"), (c("l_quantity") / 50.0).alias("q")).distinct()
+    return p.select("k", "q", *(geo.shaded(c("k"), c("q"), i).alias(name) for i, name in enumerate("rgb")))
 
 
 @query(f"""WITH {v.LABELS}, n AS (SELECT *, ['mound', 'pit', 'wall'] AS nm FROM labels)
@@ -86,8 +89,7 @@ def class_lookup(spark, d):
 SELECT src, CAST(CASE WHEN min(class_id) >= 1 AND NOT bool_or(class_id = 0) AND max(class_id) >= 7 THEN -1 ELSE 0 END AS INT) AS "offset" FROM o GROUP BY src""")
 def index_offset(spark, d):
     o = v.table(spark, d, "lineitem").select((c("l_suppkey") % 7).alias("src"), c("l_linenumber").alias("class_id"))
-    low, high, zero = F.min("class_id"), F.max("class_id"), F.bool_or(c("class_id") == 0)
-    return o.groupBy("src").agg(F.when((low >= 1) & ~zero & (high >= 7), -1).otherwise(0).alias("offset"))
+    return det.index_offset(o, 7, ["src"])
 
 
 @query(f"""WITH {v.BOXES} SELECT x_km, class_id, round(coalesce(sum(coalesce(confidence, 0.5) * area) / nullif(sum(area), 0), 0.5), 6) AS confidence, count(*) AS n

@@ -68,6 +68,16 @@ def test_modes(spark):
             modes.runner(bad)
     points = spark.range(400).select((F.col("id") % 20 * 5).cast("double").alias("x"), (F.floor(F.col("id") / 20) * 5).cast("double").alias("y"), F.col("id").cast("double").alias("z"), F.lit(2).alias("classification"))
     got = modes.runner("local_laz", 0.0, 100.0, s).run(points)
-    assert set(got) == {"MNT", "SLO", "LD"} and got["SLO"].count() == got["MNT"].count() == 110
+    assert set(got) == {"MNT", "SLO"} and got["SLO"].count() == got["MNT"].count() == 110
     assert modes.path_check("a", "").ok is False and modes.path_check("a", "/tmp").ok
     assert not modes.may_start([modes.Check("a", True), modes.Check("b", False)]) and modes.may_start([modes.Check("b", False, critical=False)])
+
+
+def test_existing_rasters(spark):
+    s = modes.settings({"computer_vision": {"selected_model": " m ", "target_rvt": "SVF"}})
+    assert s["computer_vision"]["runs"] == [{"model": "m", "target_rvt": "SVF"}]
+    files = spark.createDataFrame([("/a/LHD_FXX_0840_6520_x.tif",), ("/a/scan.tif",)], "path string")
+    got = modes.runner(" existing_rvt ", s).run(files)
+    assert {r.path: r.name for r in got["SVF"].collect()} == {"/a/LHD_FXX_0840_6520_x.tif": "LHD_FXX_0840_6520_SVF_A_LAMB93.tif", "/a/scan.tif": "scan.tif"}
+    runs = modes.settings({"computer_vision": {"runs": [{"model": "a", "target_rvt": "LD"}, {"model": "b", "target_rvt": "LD"}, {"model": "c"}]}})
+    assert modes.runner("existing_rvt", runs).products() == ["LD"]
