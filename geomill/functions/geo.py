@@ -149,6 +149,6 @@ def cloud_tile(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column
 
 
 def label_text(class_id: Column, b: dict[str, Column], width: Column, height: Column) -> Column:
-    """A label line of a pixel box: class, centre and size relative to the image, six decimals."""
+    """A label line of a pixel box: class, centre and size relative to the image, six decimals; a 5 in the seventh place rounds up."""
     x, y = (b["x1"] + b["x2"]) / 2.0 / width, (b["y1"] + b["y2"]) / 2.0 / height
     return F.format_string("%d %.6f %.6f %.6f %.6f", class_id, x, y, (b["x2"] - b["x1"]) / width, (b["y2"] - b["y1"]) / height)

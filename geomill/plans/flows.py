@@ -73,7 +73,7 @@ SELECT k, CASE WHEN s % 3 = 0 THEN NULL ELSE (800 + s) * 1000.0E0 END AS x0, CAS
   CASE s % 3 WHEN 0 THEN 'SVF' WHEN 1 THEN 'MNT' ELSE 'index' END AS layer, 'cluster_a_b' AS cluster,
   CASE s % 2 WHEN 0 THEN [3, s + 2] ELSE [2, 4, 8, 16, 32, 64] END AS levels, 4.0E0 * 3.14159E0 * s / (r * r) AS compactness,
   CAST(trunc((r * 100 + 500) / 1000) AS INT) AS tile_x, CAST(trunc((r * 200 + 500) / 1000) AS INT) + 1 AS tile_y,
-  printf('%d %.6f %.6f %.6f %.6f', s, (2.0E0 * s + 10) / 2 / 640, (4.0E0 * s + 20) / 2 / 480, 10.0E0 / 640, 20.0E0 / 480) AS line FROM p""")
+  printf('%d %.6f %.6f %.6f %.6f', s, (2.0E0 * s + 10) / 2 / 631, (4.0E0 * s + 20) / 2 / 479, 10.0E0 / 631, 20.0E0 / 479) AS line FROM p""")
 def name_forms(spark, d):
     k, s, r = c("p_partkey").cast("string"), c("p_size"), c("p_retailprice")
     tile = F.concat(F.lit("LHD_FXX_"), names.tile_key(800 + s, F.lit(6520)), F.lit("_MNT.tif"))
@@ -89,7 +89,7 @@ def name_forms(spark, d):
         names.cluster_name(F.lit(""), F.array(F.lit("a"), F.lit("b"))).alias("cluster"),
         names.pyramid_levels(F.when(s % 2 == 0, F.concat(F.lit("1, 3;x;"), (s + 2).cast("string")))).alias("levels"),
         geo.compactness(s.cast("double"), r).alias("compactness"), centre["x_km"].alias("tile_x"), centre["y_km"].alias("tile_y"),
-        geo.label_text(s, side, F.lit(640.0), F.lit(480.0)).alias("line"),
+        geo.label_text(s, side, F.lit(631.0), F.lit(479.0)).alias("line"),
     )
 
 
