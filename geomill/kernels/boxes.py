@@ -60,25 +60,20 @@ def exclusive_areas(b: np.ndarray) -> np.ndarray:
     return out
 
 
-def pairwise_drops(b: np.ndarray, confidence: np.ndarray, tiles: list[set], threshold: float) -> np.ndarray:
-    """Which boxes go: of two in one tile that overlap by more than the threshold the less sure one, the later one on ties.
+def suppressed(a: list, b: list, sa: list, sb: list) -> list:
+    """Of pairs that exclude each other what goes when the best score is kept first, then the smaller id."""
+    pairs = [((-x, i), (-y, j)) if (-x, i) < (-y, j) else ((-y, j), (-x, i)) for i, j, x, y in zip(a, b, sa, sb, strict=True)]
+    gone = set()
+    for best, other in sorted(pairs):
+        if best[1] not in gone:
+            gone.add(other[1])
+    return list(gone)
 
-    Boxes are met in the order given; one that is gone drives out no other.
-    """
-    size = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-    gone = np.zeros(len(b), bool)
-    for i in range(len(b)):
-        if gone[i]:
-            continue
-        w = np.minimum(b[i, 2], b[i + 1 :, 2]) - np.maximum(b[i, 0], b[i + 1 :, 0])
-        h = np.minimum(b[i, 3], b[i + 1 :, 3]) - np.maximum(b[i, 1], b[i + 1 :, 1])
-        both = np.maximum(w, 0) * np.maximum(h, 0)
-        union = size[i] + size[i + 1 :] - both
-        for j in np.flatnonzero((union > 0) & (both > threshold * union)) + i + 1:
-            if gone[j] or not tiles[i] & tiles[j]:
-                continue
-            if confidence[i] < confidence[j]:
-                gone[i] = True
-                break
-            gone[j] = True
-    return gone
+
+def pairwise_drops(a: list, b: list, sa: list, sb: list) -> list:
+    """Of pairs a < b, met in order, the less sure one goes, b on ties; what is gone drives out no other."""
+    gone = set()
+    for i, j, x, y in sorted(zip(a, b, sa, sb, strict=True)):
+        if i not in gone and j not in gone:
+            gone.add(j if x >= y else i)
+    return list(gone)
