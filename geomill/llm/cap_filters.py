@@ -6,7 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomill.llm.common import components, small_or_not, written
@@ -25,15 +25,24 @@ WIDE, SINGLE = 4, 4096
 LARGE = 64
 
 
+#: Vectors and codes are rounded to whole steps for decoding, so that products and sums are exact in doubles (up to 8,192
+#: coordinates) and a vector passes the same filters whatever rows it is decoded with.
+FINE = 2.0**-20
+
+
+def _fine(x: np.ndarray) -> np.ndarray:
+    return np.round(x / FINE) * FINE
+
+
 @lru_cache(maxsize=64)
 def code(number: int, dim: int, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A random rotation, and `size` random unit vectors for each block of coordinates."""
+    """A random rotation, and `size` random unit vectors for each block of coordinates, in steps of FINE."""
     rng = np.random.default_rng([20161, number])
-    turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+    turn = _fine(np.linalg.qr(rng.standard_normal((dim, dim)))[0])
     out = []
     for part in np.array_split(np.arange(dim), blocks_of(dim)):
         c = rng.standard_normal((size, len(part)))
-        out.append(c / np.linalg.norm(c, axis=1, keepdims=True) * np.sqrt(len(part) / dim))
+        out.append(_fine(c / np.linalg.norm(c, axis=1, keepdims=True) * np.sqrt(len(part) / dim)))
     return turn, out
 
 
@@ -94,7 +103,7 @@ def decode(unit: np.ndarray, codes_n: int, size: int, threshold: float) -> tuple
     for number in range(codes_n):
         turn, codes = code(number, unit.shape[1], size)
         for lo in range(0, len(unit), step):
-            x, at, scores = unit[lo : lo + step] @ turn, 0, []
+            x, at, scores = _fine(_fine(unit[lo : lo + step]) @ turn), 0, []
             for c in codes:
                 scores.append(x[:, at : at + c.shape[1]] @ c.T)
                 at += c.shape[1]
@@ -113,7 +122,8 @@ def decode(unit: np.ndarray, codes_n: int, size: int, threshold: float) -> tuple
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
-    x = raw.astype(np.float64)
+    """Rows at length 1; by their largest component first, so that no square overflows or vanishes."""
+    x = raw / np.abs(raw).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -189,17 +199,18 @@ def _verified(n: int, cosine: float):
 
 
 def _raw(batches):
-    """Vectors as packed doubles; those that are null, empty, zero or hold anything but finite numbers go."""
+    """Vectors as packed doubles, null where they are null, empty, zero or hold anything but finite numbers."""
     for batch in batches:
         out = []
-        for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            if i is None or not v or any(c is None for c in v):
-                continue
-            x = np.array(v, np.float64) + 0.0  # -0.0 is 0.0
-            if np.isfinite(x).all() and x.any():
-                out.append((i, len(x), x.tobytes()))
+        for v in batch.column("v").to_pylist():
+            x = None
+            if v and all(c is not None for c in v):
+                x = np.array(v, np.float64) + 0.0  # -0.0 is 0.0
+                x = x if np.isfinite(x).all() and x.any() else None
+            out.append((0, None) if x is None else (len(x), x.tobytes()))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=pa.schema([("vec_id", pa.int64()), ("dim", pa.int32()), ("raw", pa.binary())]))
+            dims, raw = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], ["vec_id", "dim", "raw"])
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95) -> DataFrame:
@@ -217,7 +228,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     kind = vectors.schema[key].dataType.simpleString()
     raw = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).mapInArrow(_raw, "vec_id long, dim int, raw binary")
     raw = written(raw.withColumn("form", F.sha2("raw", 256)), "vectors")
-    classes = raw.groupBy("form").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("dim", "raw")).alias("r"))
+    classes = raw.where("vec_id is not null and form is not null").groupBy("form").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("dim", "raw")).alias("r"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "form", "least", "n", "r.*"), "classes")
     count = classes.count()
     dealt = classes.select("id", "dim", "raw").mapInArrow(_filtered(count, cosine), "filter long, id long, dim int, raw binary")
@@ -233,17 +244,9 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     named = named.where("n > 1 or links is not null").select(
         "form", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("low", "least").alias("component_id")
     )
-    linked = raw.select("vec_id", "form").join(small_or_not(named), "form").select("vec_id", "n_links", "component_id")
-    return _with_links(vectors, key, vector, linked, kind)
-
-
-def _with_links(vectors: DataFrame, key: str, vector: str, linked: DataFrame, kind: str) -> DataFrame:
-    repeated = not linked.groupBy("vec_id").count().where("count > 1").isEmpty()
-    if repeated:  # rows that share an id have the links of the one with the most
-        linked = linked.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = vectors.select(F.col(key).alias("vec_id")).join(linked, "vec_id", "left")
-    component: Column = F.coalesce("component_id", "vec_id").cast(kind)
+    out = raw.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("form")).alias("form")).join(small_or_not(named), "form", "left")
+    component = F.coalesce("component_id", "vec_id")
     return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.col("vec_id").cast(kind).alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast(kind).alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
     )
