@@ -14,9 +14,9 @@ from geomill.llm.common import discard, small_or_not, written
 
 #: Domains that the rates are fitted for at most; the model's tables are that wide.
 MOST_DOMAINS = 64
-STEPS, TOLERANCE = 200, 5e-3
-#: Steps after which the rates are written, so that expressions stay short.
-WRITTEN = 20
+STEPS, TOLERANCE = 100, 5e-3
+#: Shares of the greatest curvature by which steps are damped; steps after which the rates are written, so that expressions stay short.
+DAMPED, WRITTEN = (0.0, 1e-4, 1e-3, 1e-2, 0.1, 1.0), 12
 
 
 def described(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -122,59 +122,70 @@ def mixing_rates(
     return out.select("doc_id", "domain", "n_tokens", F.round("r", 9).alias("rate"))
 
 
-def _stepped(steps: list[np.ndarray]) -> Column:
-    """The rate after projected steps: r becomes max(0, r + posterior . step), one after the other.
+def _literal(rows: list[np.ndarray]) -> str:
+    """An array of arrays; one literal, so that plans are the same whatever the numbers and their compiled code is used again."""
+    return "array(" + ", ".join("array(" + ", ".join(f"{float(x)!r}D" for x in row) + ")" for row in rows) + ")"
 
-    The steps are one array literal and the plan is the same at every call, so its compiled code is used again.
-    """
-    if not steps:
-        return F.col("r")
-    rows = ", ".join("array(" + ", ".join(f"{float(x)!r}D" for x in step) + ")" for step in steps)
-    dot = "aggregate(zip_with(posterior, s, (a, b) -> a * b), 0D, (a, b) -> a + b)"
-    return F.expr(f"aggregate(array({rows}), r, (x, s) -> greatest(0D, x + {dot}))")
+
+def _dot(s: str) -> str:
+    return f"aggregate(zip_with(posterior, {s}, (a, b) -> a * b), 0D, (a, b) -> a + b)"
+
+
+def _stepped(steps: list[np.ndarray]) -> Column:
+    """The rate after projected steps: r becomes max(0, r + posterior . step), one after the other."""
+    return F.expr(f"aggregate({_literal(steps)}, r, (x, s) -> greatest(0D, x + {_dot('s')}))") if steps else F.col("r")
 
 
 def _solved(system: DataFrame, goal: np.ndarray) -> tuple[DataFrame, np.ndarray]:
     """Rows traits, domain, r of the projected-gradient fit, and the gaps left as shares of the targets.
 
-    With gaps g = totals - goal, the gradient of a rate (in the metric of tokens) is posterior . (g / scale). A step is
-    first tried scaled by the curvature of the domains over the rows that can move, as plain steps crawl where domains
-    differ in size; if that does not lower the objective, the plain gradient with the step 1 / largest curvature does.
+    With gaps g = totals - goal, the gradient of a rate (in the metric of tokens) is posterior . (g / scale). Plain steps
+    crawl where domains differ in size, so a step is the gradient scaled by the inverse of (C + d I), C being the
+    curvature of the domains over the rates that can move and d one of DAMPED times its greatest eigenvalue: from the
+    full scaling to about the plain step. All tried steps are projected and summed in one aggregation, and the best is
+    taken. Steps end at the targets or, where no nonnegative rates reach them, when none brings the objective down.
     """
     n = len(goal)
     scale = np.where(goal > 0, goal, goal.sum() / n or 1.0)
+    root = np.sqrt(scale)
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    p = [F.get("posterior", F.lit(i)) for i in range(n)]
-
-    def met(steps: list[np.ndarray]):
-        """Objective, gaps, and curvature of the rows with a positive rate."""
-        rows = system.select(F.col("tokens").alias("w"), _stepped(steps).alias("r"), *(p[i].alias(f"p{i}") for i in range(n)))
-        free = "w * cast(r > 0 as double)"
-        got = rows.agg(*(F.sum(F.expr(f"w * r * p{i}")) for i in range(n)), *(F.sum(F.expr(f"{free} * p{i} * p{j}")) for i, j in pairs)).first()
-        got = np.array([x or 0.0 for x in got])
-        curve = np.zeros((n, n))
-        for (i, j), x in zip(pairs, got[n:], strict=True):
-            curve[i, j] = curve[j, i] = x
-        gap = got[:n] - goal
-        return (gap * gap / scale).sum() / 2, gap, curve
+    p = [F.get("posterior", F.lit(i)).alias(f"p{i}") for i in range(n)]
+    totals = [F.sum(F.expr(f"w * r * p{i}")).alias(f"t{i}") for i in range(n)]
+
+    def curvature(steps: list[np.ndarray], gap: np.ndarray) -> np.ndarray:
+        rows = system.select(F.col("tokens").alias("w"), _stepped(steps).alias("r"), F.expr(f"aggregate(transform({_literal([gap / scale])}, s -> {_dot('s')}), 0D, (a, b) -> a + b)").alias("g"), *p)
+        got = rows.where("r > 0 or g < 0").agg(*(F.sum(F.expr(f"w * p{i} * p{j}")) for i, j in pairs)).first()
+        out = np.zeros((n, n))
+        for (i, j), x in zip(pairs, got, strict=True):
+            out[i, j] = out[j, i] = x or 0.0
+        return out / np.outer(root, root)
+
+    def gaps(steps: list[np.ndarray], tries: list[np.ndarray]) -> np.ndarray:
+        """Gaps after the steps and each of the tried ones."""
+        rows = system.select(F.col("tokens").alias("w"), _stepped(steps).alias("r"), "posterior", *p)
+        rates = F.expr(f"transform({_literal(tries)}, s -> greatest(0D, r + {_dot('s')}))")
+        rows = rows.select("w", F.posexplode(rates).alias("number", "r"), *(f"p{i}" for i in range(n)))
+        got = {r["number"]: [r[f"t{i}"] or 0.0 for i in range(n)] for r in rows.groupBy("number").agg(*totals).collect()}
+        return np.array([got[k] for k in range(len(tries))]) - goal
+
+    def objective(gap: np.ndarray) -> np.ndarray:
+        return (gap * gap / scale).sum(-1)
 
-    root = np.sqrt(scale)
     steps: list[np.ndarray] = []
-    value, gap, curve = met(steps)
-    most = np.linalg.eigvalsh(curve / np.outer(root, root))[-1]  # all rows are free at first, so it bounds later ones
+    gap = gaps([], [np.zeros(n)])[0]
     for _ in range(STEPS):
         if np.abs(gap / scale).max() < TOLERANCE / 1000:
             break
-        plain = -gap / scale / max(most, 1e-300)
-        scaled = -np.linalg.lstsq(curve / np.outer(root, root), gap / root, rcond=1e-12)[0] / root
-        for step in (scaled, scaled / 4, plain):
-            tried = met([*steps, step])
-            if tried[0] < 0.9 * value or step is plain:
-                break
-        if tried[0] >= value * (1 - 1e-9):
-            break  # the nearest that nonnegative rates come
-        steps.append(step)
-        value, gap, curve = tried
+        curve = curvature(steps, gap)
+        most = max(np.linalg.eigvalsh(curve)[-1], 1e-300)
+        tries = [-np.linalg.lstsq(curve + d * most * np.eye(n), gap / root, rcond=1e-12)[0] / root for d in DAMPED]
+        tries += [s / 4 for s in tries]
+        found = gaps(steps, tries)
+        best = int(np.argmin(objective(found)))
+        if not objective(found[best]) < objective(gap) * (1 - 1e-7):
+            break
+        steps.append(tries[best])
+        gap = found[best]
         if len(steps) == WRITTEN:
             before, system = system, written(system.withColumn("r", _stepped(steps)), "system")
             discard(before)
