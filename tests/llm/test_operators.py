@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import warnings
 import zlib
 
 import numpy as np
@@ -176,11 +177,41 @@ def test_bpe(docs, odd, empty, reference):
     assert bpe.encode_documents(empty, PATH, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.fixture(scope="module")
+def merger(reference):
+    return bpe.Merger(reference[1])
+
+
+PIECE = st.binary(min_size=1, max_size=300) | st.text("aeinrst th", min_size=1, max_size=300).map(str.encode)
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.binary(min_size=1, max_size=300) | st.text("aeinrst th", min_size=1, max_size=300).map(str.encode))
-def test_rank_queue(reference, piece):
-    encoding, ranks = reference
-    assert bpe.merge(piece, ranks) == encoding._core_bpe.encode_single_piece(piece)
+@given(st.lists(PIECE, min_size=1, max_size=8))
+def test_rank_queue(reference, merger, pieces):
+    """Pre-tokens that are merged together come out as each alone does."""
+    encoding, _ = reference
+    assert [x.tolist() for x in merger.merge(pieces)] == [encoding._core_bpe.encode_single_piece(x) for x in pieces]
+
+
+def test_very_long_pre_tokens(reference, merger):
+    encoding, _ = reference
+    rng = random.Random(3)
+    for x in ("a" * 30_001, "".join(rng.choice("abcdefgh") for _ in range(30_000))):
+        assert merger.merge([x.encode()])[0].tolist() == encoding.encode_ordinary(x)
+    whole = merger.merge(["".join(rng.choice("etaoin") for _ in range(1_000_000)).encode()])[0]
+    assert sum(len(merger.tokens[i]) for i in whole.tolist()) == 1_000_000
+
+
+def test_memory_of_pre_tokens(merger, monkeypatch):
+    """A full memory starts a new generation and takes over what is met again; it never stops taking."""
+    monkeypatch.setattr(bpe, "GENERATION", 20_000)
+    memory = bpe.Memory(merger)
+    for lo in range(0, 2000, 50):
+        pieces = {f" w{i}" for i in range(lo, lo + 80)} | {"x" * 300}
+        known = memory.learn(pieces)
+        assert all(known[x] == merger.merge([x.encode()])[0].tobytes() for x in pieces)
+        assert f" w{lo}" in memory.young and "x" * 300 not in memory.young
+    assert len(memory.young) + len(memory.old) < 400
 
 
 # ---- near-duplicates
@@ -409,8 +440,41 @@ def test_vectors(spark):
     assert np.mean([got[2 * i].component_id == 2 * want[i] for i in range(len(x))]) > 0.98
     assert all(got[2 * i].n_links == 0 and got[2 * i].kept for i in range(len(x)) if i not in good)
     assert cap_filters.near_vectors(d.limit(0)).count() == 0
-    again = d.union(d.limit(2)).union(spark.createDataFrame([(None, x[0], 0)], d.schema))
-    assert cap_filters.near_vectors(again).count() == again.count()
+
+
+def linked(rows, cosine=0.95):
+    """vec_id, n_links, component of each row, by all pairs of those with an id."""
+    unit = []
+    for k, v in rows:
+        x = np.array(v, np.float64) if k is not None and v and None not in v else np.zeros(1)
+        x = x / np.abs(x).max() if np.isfinite(x).all() and x.any() else None
+        unit.append(None if x is None else x / np.linalg.norm(x))
+    edges = [
+        (i, j) for j in range(len(rows)) for i in range(j)
+        if unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= cosine
+    ]
+    n = collections.Counter(i for e in edges for i in e)
+    part = least(len(rows), edges)
+    low = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            low[part[i]] = min(k, low.get(part[i], k))
+    return collections.Counter((k, n[i], low.get(part[i]) if k is not None else None) for i, (k, _) in enumerate(rows))
+
+
+def test_vectors_in_few_dimensions(spark):
+    """Every link is found in 1 to 8 dimensions, at extreme magnitudes, and rows that share an id have their own links."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for dim in (1, 2, 3, 4, 8):
+        for _ in range(40):
+            x = rng.standard_normal(dim)
+            rows.append((len(rows), x.tolist()))
+            rows.append((len(rows), ((x + 0.05 * rng.standard_normal(dim)) * 10.0 ** rng.integers(-3, 4)).tolist()))
+    rows += [(900, [1e200, 1e200]), (901, [1e-200, 1.01e-200]), (902, [1e300, -1e300]), (5, rows[0][1]), (5, [0.0, 0.0]), (7, rows[9][1]), (7, rows[9][1]), (None, rows[9][1])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = collections.Counter((r.vec_id, r.n_links, r.component_id) for r in cap_filters.near_vectors(d).collect())
+    assert got == linked(rows)
 
 
 @pytest.mark.parametrize(("dim", "n"), [(64, 2_000), (64, 200_000), (64, 2_000_000), (32, 200_000), (2, 2_000)])
@@ -539,6 +603,36 @@ def test_mixing_of_skewed_domains_and_zero_targets(spark):
         mixing.mixing_rates(alike, both, {"en/0": 1e3, "en/1": 1e4}).count()
 
 
+def test_mixing_against_projected_gradient(spark):
+    """Totals of the rates are those of a plain projected gradient over all documents, one with targets out of reach too."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(240):
+        text = _words(rng, 10 + rng.randrange(60)) + " " + "$ " * rng.randrange(0, 40 if i % 3 == 0 else 4)
+        rows.append((i, text, ("en", "de")[i % 5 == 0], "s", 0, "k", 1, 2, "i", "s", 3, "w", 4, "c"))
+    d = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(240)], "doc_id long, quality int")
+    traits = mixing.described(d)
+    names, model, prior = mixing._domains(traits, labels, "doc_id", "quality")
+    soft = mixing.posteriors(traits, model, prior).collect()
+    p, w = np.array([x.posterior for x in soft]), np.array([x.n_tokens for x in soft], float)
+    for goal in (np.array([900.0, 3000.0, 2500.0, 4000.0]), np.array([1.0, 50_000.0, 1.0, 100.0])):
+        r = np.ones(len(w))
+        step = 1 / np.linalg.eigvalsh((p / np.sqrt(goal)).T @ (w[:, None] * p / np.sqrt(goal)))[-1]
+        y, t = r, 1.0
+        for _ in range(60_000):  # accelerated
+            new = np.maximum(0, y - step * p @ (((w * y) @ p - goal) / goal))
+            t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+            y, r = new + (before - 1) / t * (new - r), new
+        best = ((((w * r) @ p - goal) ** 2) / goal).sum()
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            rate = {x.doc_id: x.rate for x in mixing.mixing_rates(d, labels, dict(zip(names, goal, strict=True))).collect()}
+        own = np.array([rate[x.doc_id] for x in soft])
+        got = ((((w * own) @ p - goal) ** 2) / goal).sum()
+        assert (own >= 0).all() and got <= best * 1.001 + 1e-3
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(300, 400)] + [(5, 5)]
