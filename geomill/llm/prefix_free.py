@@ -66,7 +66,7 @@ def _parsed(length: int, gram: int):
 
     def scan(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 500_000):
                 data, off = text_bytes(part.column("text"))
                 roll, row, spot, first, last = triggers(data, off, length, gram)
                 if not len(row):
