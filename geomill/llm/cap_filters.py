@@ -123,11 +123,12 @@ def decode(unit: np.ndarray, codes_n: int, size: int, threshold: float) -> tuple
 
 def _unit(raw: np.ndarray) -> np.ndarray:
     """Rows at length 1; by their largest component first, so that no square overflows or vanishes."""
+    raw = raw.astype(np.float64)
     x = raw / np.abs(raw).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filtered(n: int, cosine: float):
+def _filtered(n: int, cosine: float, kind: str):
     def scan(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -136,7 +137,7 @@ def _filtered(n: int, cosine: float):
                 raw = part.column("raw").to_pylist()
                 for dim in np.unique(dims):
                     own = np.flatnonzero(dims == dim)
-                    x = np.frombuffer(b"".join(raw[i] for i in own), np.float64).reshape(len(own), dim)
+                    x = np.frombuffer(b"".join(raw[i] for i in own), kind).reshape(len(own), dim)
                     row, which = decode(_unit(x), *code_size(n, int(dim), cosine))
                     for at in range(0, len(row), 20_000):
                         take = pa.array(own[row[at : at + 20_000]])
@@ -146,7 +147,7 @@ def _filtered(n: int, cosine: float):
     return scan
 
 
-def _verified(n: int, cosine: float):
+def _verified(n: int, cosine: float, kind: str):
     """Linked pairs of each filter, the smaller id first."""
 
     def pairs(x: np.ndarray, ids: np.ndarray, filt: int, dim: int):
@@ -179,13 +180,13 @@ def _verified(n: int, cosine: float):
                     step = max(1, 2_000_000 // (int(k) * int(dim)))
                     for s in range(0, len(first), step):
                         rows = first[s : s + step, None] + np.arange(k)
-                        x = _unit(np.frombuffer(b"".join(raw[i] for i in rows.ravel()), np.float64).reshape(-1, dim)).reshape(len(rows), k, dim)
+                        x = _unit(np.frombuffer(b"".join(raw[i] for i in rows.ravel()), kind).reshape(-1, dim)).reshape(len(rows), k, dim)
                         hit, pair = np.nonzero(np.matmul(x, x.transpose(0, 2, 1))[:, p, q] >= cosine)
                         a.append(ids[rows[hit, p[pair]]])
                         b.append(ids[rows[hit, q[pair]]])
             for r in np.flatnonzero(size >= LARGE):
                 dim = int(dims[at[r]])
-                x = _unit(np.frombuffer(b"".join(raw[at[r] : at[r + 1]]), np.float64).reshape(-1, dim))
+                x = _unit(np.frombuffer(b"".join(raw[at[r] : at[r + 1]]), kind).reshape(-1, dim))
                 for u, v in pairs(x, ids[at[r] : at[r + 1]], int(filt[at[r]]), dim):
                     a.append(u)
                     b.append(v)
@@ -198,19 +199,23 @@ def _verified(n: int, cosine: float):
     return scan
 
 
-def _raw(batches):
-    """Vectors as packed doubles, null where they are null, empty, zero or hold anything but finite numbers."""
-    for batch in batches:
-        out = []
-        for v in batch.column("v").to_pylist():
-            x = None
-            if v and all(c is not None for c in v):
-                x = np.array(v, np.float64) + 0.0  # -0.0 is 0.0
-                x = x if np.isfinite(x).all() and x.any() else None
-            out.append((0, None) if x is None else (len(x), x.tobytes()))
-        if out:
-            dims, raw = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], ["vec_id", "dim", "raw"])
+def _raw(kind: str):
+    """Vectors as packed numbers of their own kind, null where they are null, empty, zero or hold anything but finite numbers."""
+
+    def scan(batches):
+        for batch in batches:
+            out = []
+            for v in batch.column("v").to_pylist():
+                x = None
+                if v and all(c is not None for c in v):
+                    x = np.array(v, kind) + np.array(0, kind)  # -0.0 is 0.0
+                    x = x if np.isfinite(x).all() and x.any() else None
+                out.append((0, None) if x is None else (len(x), x.tobytes()))
+            if out:
+                dims, raw = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], ["vec_id", "dim", "raw"])
+
+    return scan
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95) -> DataFrame:
@@ -226,14 +231,17 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     id: each has its own vector's links. Empty table: no rows. Other columns are not carried.
     """
     kind = vectors.schema[key].dataType.simpleString()
-    raw = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).mapInArrow(_raw, "vec_id long, dim int, raw binary")
+    single = vectors.schema[vector].dataType.simpleString() == "array<float>"  # floats travel as such and are compared as doubles
+    packed = "f4" if single else "f8"
+    v = F.col(vector) if single else F.col(vector).cast("array<double>")
+    raw = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).mapInArrow(_raw(packed), "vec_id long, dim int, raw binary")
     raw = written(raw.withColumn("form", F.sha2("raw", 256)), "vectors")
     classes = raw.where("vec_id is not null and form is not null").groupBy("form").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("dim", "raw")).alias("r"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "form", "least", "n", "r.*"), "classes")
     count = classes.count()
-    dealt = classes.select("id", "dim", "raw").mapInArrow(_filtered(count, cosine), "filter long, id long, dim int, raw binary")
+    dealt = classes.select("id", "dim", "raw").mapInArrow(_filtered(count, cosine, packed), "filter long, id long, dim int, raw binary")
     dealt = dealt.repartition("filter").sortWithinPartitions("filter", "id")
-    pairs = written(dealt.mapInArrow(_verified(count, cosine), "a long, b long").dropDuplicates(), "links")
+    pairs = written(dealt.mapInArrow(_verified(count, cosine, packed), "a long, b long").dropDuplicates(), "links")
     sides = pairs.union(pairs.select("b", "a"))
     many = classes.select(F.col("id").alias("b"), "n")
     links = sides.join(small_or_not(many), "b").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "id")
