@@ -49,7 +49,7 @@ def with_halo(cells: DataFrame, halo: int, kernel, block: int = BLOCK) -> DataFr
 
     dealt = cells.select("col", "row", F.col("z").cast("double").alias("z")).withColumn("bx", F.explode(reach("col"))).withColumn("by", F.explode(reach("row")))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bx, by = key
         side = block + 2 * halo
         window = np.full((side, side), np.nan)
@@ -105,7 +105,7 @@ def terrain(points: DataFrame, x0: float, y1: float, size: float, block: int = B
 
     p = p.withColumn("bx", F.explode(near("col"))).withColumn("by", F.explode(near("row")))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bx, by = key
         c, r = np.meshgrid(np.arange(bx * block, (bx + 1) * block), np.arange(by * block, (by + 1) * block))
         at = np.c_[x0 + (c.ravel() + 0.5) * size, y1 - (r.ravel() + 0.5) * size]

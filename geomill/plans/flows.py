@@ -8,7 +8,7 @@ from geomill.functions import geo, names
 from geomill.operators import detections as det
 from geomill.operators import labels, tiles
 from geomill.plans import views as v
-from geomill.plans.queries import c, query
+from geomill.plans.queries import c, query, settled
 
 # ---- label files to features ---------------------------------------------------------------------------------
 
@@ -105,9 +105,24 @@ def slices_of_scores(spark, d):
     )
 
 
-@query()
+def _edge(at: str, size: str, sign: str, shift: str, limit: int) -> str:
+    return f"greatest(0.0E0, least({limit}.0E0, greatest(0.0E0, least(800.0E0, ({at} {sign} 0.5E0 * {size}) * 1.25E0)) + {shift}))"
+
+
+_SLICED = f"""WITH RECURSIVE {v.SCORES}, s AS (SELECT *, vec_id % 7 AS image, 512 * (vec_id % 2) AS sx, 480 * (label % 2) AS sy, greatest(s0, s1, s2) AS score FROM scores),
+e AS (SELECT vec_id AS id, image, CASE WHEN s0 = score THEN 0 WHEN s1 = score THEN 1 ELSE 2 END AS class_id, score, {_edge("cx", "w", "-", "sx", 1600)} AS minx, {_edge("cx", "w", "+", "sx", 1600)} AS maxx,
+  {_edge("cy", "h", "-", "sy", 1200)} AS miny, {_edge("cy", "h", "+", "sy", 1200)} AS maxy FROM s WHERE score >= 0.05),
+b AS MATERIALIZED (SELECT * FROM e WHERE minx < maxx AND miny < maxy)"""
+_WORSE = """SELECT z.id AS lo, a.id AS hi FROM b a JOIN b z ON a.image = z.image AND a.class_id = z.class_id AND (a.score > z.score OR a.score = z.score AND a.id < z.id)
+  AND least(a.maxx, z.maxx) > greatest(a.minx, z.minx) AND least(a.maxy, z.maxy) > greatest(a.miny, z.miny)
+  WHERE (least(a.maxx, z.maxx) - greatest(a.minx, z.minx)) * (least(a.maxy, z.maxy) - greatest(a.miny, z.miny))
+    / greatest(least((a.maxx - a.minx) * (a.maxy - a.miny), (z.maxx - z.minx) * (z.maxy - z.miny)), 1e-10) >= 0.5"""
+
+
+@query(f"""{_SLICED}, {settled(_WORSE)}, k AS (SELECT b.*, row_number() OVER (PARTITION BY image ORDER BY score DESC, b.id) AS place FROM b LEFT JOIN st ON st.id = b.id WHERE coalesce(s, 1) = 1)
+SELECT image, id, class_id, round(score, 6) AS score FROM k WHERE place <= 1000""")
 def sliced_detection(spark, d):
-    """Greedy suppression depends on its own earlier choices; a plain loop is the test."""
+    """Greedy suppression depends on its own earlier choices; a plain loop is a test too."""
     return det.sliced(slices_of_scores(spark, d), 640.0, 0.05).select("image", "id", "class_id", F.round("score", 6).alias("score"))
 
 
@@ -121,9 +136,24 @@ def dedup_tables(spark, d):
     )
 
 
-@query()
+_REPEATED = f"""WITH RECURSIVE {v.BOXES}, {v.UNIQUE}, t AS (SELECT x_km || '_' || y_km AS tile, x_km * 1000.0E0 - 5 AS minx, x_km * 1000.0E0 + 1005 AS maxx, (y_km - 1) * 1000.0E0 - 5 AS miny,
+  y_km * 1000.0E0 + 5 AS maxy FROM (SELECT DISTINCT x_km, y_km FROM ub WHERE (x_km + y_km) % 5 <> 0)),
+inside AS MATERIALIZED (SELECT ub.id, any_value(class_id) AS class_id, any_value(confidence) AS confidence, any_value(ub.minx) AS minx, any_value(ub.miny) AS miny, any_value(ub.maxx) AS maxx,
+  any_value(ub.maxy) AS maxy, list(tile) AS tiles FROM ub JOIN t ON ub.minx <= t.maxx AND t.minx <= ub.maxx AND ub.miny <= t.maxy AND t.miny <= ub.maxy GROUP BY ub.id),
+dealt AS (SELECT *, unnest(range(CAST(floor(minx / 50) AS BIGINT), CAST(floor(maxx / 50) AS BIGINT) + 1)) AS gx FROM
+  (SELECT *, unnest(range(CAST(floor(miny / 50) AS BIGINT), CAST(floor(maxy / 50) AS BIGINT) + 1)) AS gy FROM inside)),
+o AS (SELECT DISTINCT a.id AS a, z.id AS b, coalesce(a.confidence, -1) >= coalesce(z.confidence, -1) AS first,
+  (least(a.maxx, z.maxx) - greatest(a.minx, z.minx)) * (least(a.maxy, z.maxy) - greatest(a.miny, z.miny)) AS i, (a.maxx - a.minx) * (a.maxy - a.miny) + (z.maxx - z.minx) * (z.maxy - z.miny) AS sizes
+  FROM dealt a JOIN dealt z ON a.gx = z.gx AND a.gy = z.gy AND a.id < z.id AND least(a.maxx, z.maxx) > greatest(a.minx, z.minx) AND least(a.maxy, z.maxy) > greatest(a.miny, z.miny)
+  WHERE list_has_any(a.tiles, z.tiles)),
+p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a, b) AS k, a, b, CASE WHEN first THEN b ELSE a END AS loser FROM o WHERE i / (sizes - i) > 0.1)"""
+
+
+@query(f"""{_REPEATED}, {settled("SELECT p.k AS lo, q.k AS hi FROM p JOIN p q ON q.k < p.k AND (q.loser = p.a OR q.loser = p.b)")},
+gone AS (SELECT loser FROM p LEFT JOIN st ON st.id = p.k WHERE coalesce(s, 1) = 1)
+SELECT id, class_id, confidence FROM inside WHERE id NOT IN (SELECT loser FROM gone)""")
 def extent_dedup(spark, d):
-    """What goes depends on what has gone; a plain loop is the test."""
+    """A pair counts while neither of it is gone: it stays unless a pair before it that counts took one of its two. A plain loop is a test too."""
     return det.drop_repeated(*dedup_tables(spark, d)).select("id", "class_id", "confidence")
 
 

@@ -158,13 +158,49 @@ def inside_tiles(spark, d):
     return det.drop_outside(b, t, 1000.0).select("id")
 
 
-@query()
+_META = f"""WITH RECURSIVE {v.BOXES}, {v.UNIQUE}, dealt AS (SELECT *, unnest(range(CAST(floor(minx / 50) AS BIGINT), CAST(floor(maxx / 50) AS BIGINT) + 1)) AS gx FROM
+  (SELECT *, unnest(range(CAST(floor(miny / 50) AS BIGINT), CAST(floor(maxy / 50) AS BIGINT) + 1)) AS gy FROM ub))"""
+
+
+def settled(conflicts: str) -> str:
+    """SQL of st(id, s): of conflicts(lo, hi), where hi comes first, a row stays (1) when all before it are gone, and goes (2) when one of them stays."""
+    return f"""conf AS MATERIALIZED ({conflicts}), st(id, s) USING KEY (id) AS (
+  SELECT DISTINCT hi, 1 FROM conf WHERE hi NOT IN (SELECT lo FROM conf)
+  UNION SELECT c.lo, CASE WHEN bool_or(coalesce(h.s = 1, false)) THEN 2 ELSE 1 END FROM conf c LEFT JOIN recurring.st h ON h.id = c.hi
+  WHERE c.lo NOT IN (SELECT id FROM recurring.st) GROUP BY c.lo HAVING bool_or(coalesce(h.s = 1, false)) OR count(h.id) = count(*))"""
+
+
+def labelled(nodes: str, edges: str) -> str:
+    """SQL of lab(id, c): c is the smallest id reached over edges(a, b), told in both directions."""
+    return f"""edge AS MATERIALIZED ({edges}), lab(id, c) USING KEY (id) AS (SELECT id, id FROM {nodes}
+  UNION SELECT e.b, min(l.c) FROM lab l JOIN edge e ON e.a = l.id JOIN recurring.lab k ON k.id = e.b WHERE l.c < k.c GROUP BY e.b)"""
+
+
+def _both(x: str) -> str:
+    return f"least(a.max{x}, z.max{x}) - greatest(a.min{x}, z.min{x})"
+
+
+_AREAS = "(a.maxx - a.minx) * (a.maxy - a.miny)", "(z.maxx - z.minx) * (z.maxy - z.miny)"
+_SUPPRESSED = f"""SELECT DISTINCT z.id AS lo, a.id AS hi FROM dealt a JOIN dealt z ON a.gx = z.gx AND a.gy = z.gy AND a.x_km = z.x_km AND a.y_km = z.y_km AND a.class_id = z.class_id
+  AND (a.confidence > z.confidence OR a.confidence = z.confidence AND a.id < z.id) AND {_both("x")} > 0 AND {_both("y")} > 0
+  WHERE ({_both("x")}) * ({_both("y")}) / greatest(least({_AREAS[0]}, {_AREAS[1]}), 1e-10) >= 0.5"""
+
+
+@query(f"{_META}, {settled(_SUPPRESSED)} SELECT ub.id, class_id FROM ub LEFT JOIN st ON st.id = ub.id WHERE coalesce(s, 1) = 1")
 def greedy_suppress(spark, d):
     b = v.unique_boxes(spark, d).withColumnRenamed("confidence", "score")
     return det.suppress(b, ["x_km", "y_km", "class_id"]).select("id", "class_id")
 
 
-@query()
+_MET = """SELECT DISTINCT a.id AS a, z.id AS b FROM grown a JOIN grown z ON a.gx = z.gx AND a.gy = z.gy AND a.class_id = z.class_id AND a.id <> z.id
+  AND a.minx - 0.5 <= z.maxx + 0.5 AND z.minx - 0.5 <= a.maxx + 0.5 AND a.miny - 0.5 <= z.maxy + 0.5 AND z.miny - 0.5 <= a.maxy + 0.5"""
+
+
+@query(f"""WITH RECURSIVE {v.BOXES}, {v.UNIQUE}, grown AS (SELECT *, unnest(range(CAST(floor((minx - 0.5) / 50) AS BIGINT), CAST(floor((maxx + 0.5) / 50) AS BIGINT) + 1)) AS gx FROM
+  (SELECT *, unnest(range(CAST(floor((miny - 0.5) / 50) AS BIGINT), CAST(floor((maxy + 0.5) / 50) AS BIGINT) + 1)) AS gy FROM ub)), {labelled("ub", _MET)},
+m AS (SELECT lab.c, ub.*, (maxx - minx) * (maxy - miny) AS own FROM ub JOIN lab ON lab.id = ub.id)
+SELECT class_id, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, round(sum(confidence * own) / sum(own), 6) AS confidence, count(*) AS n
+FROM m GROUP BY c, class_id""")
 def merge_touching(spark, d):
     b = v.unique_boxes(spark, d)
     out = det.merge_touching(b, ["class_id"])
@@ -176,7 +212,12 @@ def remove_overlaps(spark, d):
     return det.remove_overlaps(v.unique_boxes(spark, d)).select("id", F.round("kept_area", 6).alias("kept_area"))
 
 
-@query()
+_AGREE = f"""SELECT DISTINCT a.id AS a, z.id AS b FROM dealt a JOIN dealt z ON a.gx = z.gx AND a.gy = z.gy AND a.x_km = z.x_km AND a.y_km = z.y_km AND a.class_id = z.class_id
+  AND a.id <> z.id AND {_both("x")} > 0 AND {_both("y")} > 0
+  WHERE ({_both("x")}) * ({_both("y")}) / ({_AREAS[0]} + {_AREAS[1]} - ({_both("x")}) * ({_both("y")})) > 0.15"""
+
+
+@query(f"{_META}, {labelled('ub', _AGREE)} SELECT id, c AS instance FROM lab")
 def instance_merge(spark, d):
     b = v.unique_boxes(spark, d).withColumn("image", F.concat_ws("_", "x_km", "y_km"))
     return det.instances(b)
@@ -196,7 +237,13 @@ def eps_neighbours(spark, d):
     return point_pairs(_sites(spark, d), 30.0).groupBy("a").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SITES}, cell AS (SELECT *, floor(x / 60) AS gx, floor(y / 60) AS gy FROM sites),
+near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM (SELECT *, gx + i AS hx, gy + j AS hy FROM cell, range(-1, 2) u(i), range(-1, 2) w(j)) a JOIN cell b ON b.gx = hx AND b.gy = hy
+  AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 3600),
+core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 4),
+{labelled("core", "SELECT a, b FROM near WHERE a <> b AND a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)")},
+rim AS (SELECT a AS id, min(c) AS c FROM near JOIN lab ON lab.id = near.b GROUP BY a)
+SELECT sites.id, coalesce(lab.c, rim.c) AS cluster FROM sites LEFT JOIN lab ON lab.id = sites.id LEFT JOIN rim ON rim.id = sites.id""")
 def dbscan(spark, d):
     return det.dbscan(_sites(spark, d), 60.0, 4).select("id", "cluster")
 
@@ -299,11 +346,13 @@ def _n(dr: int, dc: int) -> str:
     return f"coalesce(max(CASE WHEN k.\"row\" = a.\"row\" + {dr} AND k.col = a.col + {dc} THEN k.z END), max(a.z))"
 
 
-@query(f"""{_G}, h AS (SELECT a.col, a."row",
+_HORN = f"""{_G}, horn AS (SELECT a.col, a."row",
  ({_n(-1, 1)} + 2 * {_n(0, 1)} + {_n(1, 1)} - {_n(-1, -1)} - 2 * {_n(0, -1)} - {_n(1, -1)}) / 160.0E0 AS p,
  ({_n(-1, -1)} + 2 * {_n(-1, 0)} + {_n(-1, 1)} - {_n(1, -1)} - 2 * {_n(1, 0)} - {_n(1, 1)}) / 160.0E0 AS q
- FROM cells a JOIN cells k ON k.col BETWEEN a.col - 1 AND a.col + 1 AND k."row" BETWEEN a."row" - 1 AND a."row" + 1 GROUP BY a.col, a."row")
-SELECT col, "row", round(degrees(atan(sqrt(p * p + q * q))), 4) AS value FROM h""")
+ FROM cells a JOIN cells k ON k.col BETWEEN a.col - 1 AND a.col + 1 AND k."row" BETWEEN a."row" - 1 AND a."row" + 1 GROUP BY a.col, a."row")"""
+
+
+@query(f'{_HORN} SELECT col, "row", round(degrees(atan(sqrt(p * p + q * q))), 4) AS value FROM horn')
 def slope_3x3(spark, d):
     return raster.slope(_terrain(spark, d), 20.0).select("col", "row", F.round("value", 4).alias("value"))
 
@@ -314,19 +363,36 @@ def slrm(spark, d):
     return raster.local_relief(_terrain(spark, d), 3).select("col", "row", F.round(c("value") + 1e-7, 4).alias("value"))
 
 
-def _relief(name, f):
+def _relief(name, f, sql):
     def run(spark, d):
         return f(_terrain(spark, d)).select("col", "row", F.round("value", 6).alias("value"))
 
     run.__name__ = name
-    query()(run)
-
-
-_relief("hillshade", lambda t: raster.hillshade(t, 20.0))
-_relief("sky_view", lambda t: raster.sky_view(t, 20.0))
-_relief("positive_openness", lambda t: raster.openness(t, 20.0))
-_relief("local_dominance", lambda t: raster.local_dominance(t, 20.0))
-_relief("relief_blend", lambda t: raster.blended(t, 20.0))
+    query(sql)(run)
+
+
+_SHADE = """shade AS (SELECT col, "row", sum(greatest(0, (sin(radians(35)) - cos(radians(35)) * (p * sin(2 * pi() * k / 16) + q * cos(2 * pi() * k / 16))) / sqrt(1 + p * p + q * q))) / 16 AS shade
+ FROM horn, range(16) u(k) GROUP BY col, "row")"""
+_RAYS = """rays AS (SELECT DISTINCT k, -CAST(round_even(d * cos(2 * pi() * k / 16), 0) AS INT) AS r, CAST(round_even(d * sin(2 * pi() * k / 16), 0) AS INT) AS c FROM range(16) u(k), range(1, 11) w(d)),
+seen AS (SELECT a.col, a."row", k, max((b.z - a.z) / (sqrt(r * r + c * c) * 20.0E0)) AS t FROM (SELECT * FROM cells, rays) a JOIN cells b ON b.col = a.col + a.c AND b."row" = a."row" + a.r GROUP BY ALL),
+sky AS (SELECT cells.col, cells."row", 1 - coalesce(sum(sin(atan(greatest(t, 0)))), 0) / 16 AS sky, 90 - degrees((coalesce(sum(atan(t)), 0) - (16 - count(t)) * pi() / 2) / 16) AS "open"
+ FROM cells LEFT JOIN seen ON seen.col = cells.col AND seen."row" = cells."row" GROUP BY 1, 2)"""
+_OVER = """ring AS (SELECT d, -CAST(round_even(d * cos(radians(15 * k)), 0) AS INT) AS r, CAST(round_even(d * sin(radians(15 * k)), 0) AS INT) AS c FROM range(24) u(k), range(10, 21) w(d)),
+down AS (SELECT a.col, a."row", sum(atan((a.z + 1.7E0 - b.z) / (sqrt(r * r + c * c) * 20.0E0)) * (2 * ln(d + 0.5E0) - 2 * ln(d - 0.5E0))) / sum(2 * ln(d + 0.5E0) - 2 * ln(d - 0.5E0)) AS t
+ FROM (SELECT * FROM cells, ring) a JOIN cells b ON b.col = a.col + a.c AND b."row" = a."row" + a.r GROUP BY ALL)"""
+
+_relief("hillshade", lambda t: raster.hillshade(t, 20.0), f'{_HORN}, {_SHADE} SELECT col, "row", round(shade, 6) AS value FROM shade')
+_relief("sky_view", lambda t: raster.sky_view(t, 20.0), f'{_G}, {_RAYS} SELECT col, "row", round(sky, 6) AS value FROM sky')
+_relief("positive_openness", lambda t: raster.openness(t, 20.0), f'{_G}, {_RAYS} SELECT col, "row", round("open", 6) AS value FROM sky')
+_relief(
+    "local_dominance", lambda t: raster.local_dominance(t, 20.0),
+    f'{_G}, {_OVER} SELECT cells.col, cells."row", round(coalesce(degrees(t), 0), 6) AS value FROM cells LEFT JOIN down ON down.col = cells.col AND down."row" = cells."row"',
+)
+_relief("relief_blend", lambda t: raster.blended(t, 20.0), f"""{_HORN}, {_SHADE}, {_RAYS},
+a AS (SELECT col, "row", shade, 1 - least(1, greatest(0, degrees(atan(sqrt(p * p + q * q))) / 50)) AS steep, least(1, greatest(0, ("open" - 68) / 25)) AS o, least(1, greatest(0, (sky - 0.7E0) / 0.3E0)) AS s
+  FROM horn JOIN shade USING (col, "row") JOIN sky USING (col, "row")),
+b AS (SELECT *, 0.5E0 * shade + 0.5E0 * steep * shade AS m FROM a), e AS (SELECT *, 0.5E0 * m + 0.5E0 * CASE WHEN m > 0.5 THEN 1 - 2 * (1 - m) * (1 - o) ELSE 2 * m * o END AS n FROM b)
+SELECT col, "row", round(0.75E0 * n + 0.25E0 * n * s, 6) AS value FROM e""")
 
 
 @query()

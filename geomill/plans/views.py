@@ -59,6 +59,10 @@ def unique_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("id").agg(F.max(F.struct(*rest)).alias("r")).select("id", "r.*")
 
 
+UNIQUE = """ub AS (SELECT id, r.* FROM (SELECT id, max(struct_pack(x_km := x_km, y_km := y_km, class_id := class_id, confidence := confidence,
+    minx := minx, miny := miny, maxx := maxx, maxy := maxy, area := area)) AS r FROM boxes GROUP BY id))"""
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A classified point for each line item."""
     c = F.col
