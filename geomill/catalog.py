@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from geomill.plans import flows, queries  # flows adds its queries to the same tables
+from geomill.plans import flows, queries, records  # flows and records add their queries to the same tables
 
 FLAGSHIP = "label_to_geo_buckets"
 QUERIES = queries.QUERIES
 ORACLE_SQL = queries.ORACLE_SQL
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "flows"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "flows", "records"]

@@ -79,11 +79,24 @@ def product_file(product: Column, x: Column, y: Column, suffix: Column, resoluti
     head = F.concat(F.lit("LHD_FXX_"), tile_key(x, y))
     dashed = F.translate(product, "_", "-")
     height = F.replace(F.format_string("%.2f", resolution), F.lit("."), F.lit("M"))
-    return F.when(product == "MNT", F.concat(head, F.lit("_MNT_A_"), height, F.lit("_LAMB93_IGN69.tif"))).otherwise(
-        F.concat(head, F.lit("_"), dashed, suffix, F.lit("_A_LAMB93.tif"))
+    return (
+        F.when(product == "MNT", F.concat(head, F.lit("_MNT_A_"), height, F.lit("_LAMB93_IGN69.tif")))
+        .when(product == "DENSITE", F.concat(head, F.lit("_densite_A_LAMB93.tif")))
+        .otherwise(F.concat(head, F.lit("_"), dashed, suffix, F.lit("_A_LAMB93.tif")))
     )
 
 
+def temp_file(product: Column, tile: Column, suffix: Column) -> Column:
+    """The file name of a product of a tile before it is cropped."""
+    base = F.when(product == "DENSITE", "densite").when(product == "M_HS", "hillshade").when(product == "SLO", "Slope").otherwise(product)
+    return F.concat(tile, F.lit("_"), base, suffix, F.lit(".tif"))
+
+
+def product_folder(product: Column, suffix: Column) -> Column:
+    """Where the rasters of a product with its parameters lie."""
+    return F.concat(F.lit("results/RVT/"), product, suffix, F.lit("/tif"))
+
+
 def model_slug(weights: Column) -> Column:
     """The folder of a weights file as a safe name; `unknown` for no path, `model` if nothing is left."""
     folder = F.regexp_extract(F.regexp_replace(weights, r"\\", "/"), r"([^/]+)/[^/]*$", 1)

@@ -37,13 +37,13 @@ def hillshade(w: np.ndarray, size: float, directions: int, elevation: float) ->
     return out / directions
 
 
-def _horizon(w: np.ndarray, halo: int, size: float, directions: int, floor: float) -> np.ndarray:
-    """Greatest tangent of the elevation angle in each direction within the halo, at least `floor`."""
+def _horizon(w: np.ndarray, halo: int, size: float, directions: int, floor: float, nearest: int = 1) -> np.ndarray:
+    """Greatest tangent of the elevation angle in each direction from `nearest` cells on within the halo, at least `floor`."""
     z = _shift(w, halo, 0, 0)
     out = np.full((directions, *z.shape), floor)
     for k, a in enumerate(2 * np.pi * np.arange(directions) / directions):
         done = set()
-        for d in range(1, halo + 1):
+        for d in range(nearest, halo + 1):
             r, c = -int(round(d * np.cos(a))), int(round(d * np.sin(a)))
             if (r, c) in done or not (r or c):
                 continue
@@ -53,14 +53,14 @@ def _horizon(w: np.ndarray, halo: int, size: float, directions: int, floor: floa
     return out
 
 
-def sky_view(w: np.ndarray, halo: int, size: float, directions: int) -> np.ndarray:
+def sky_view(w: np.ndarray, halo: int, size: float, directions: int, nearest: int = 1) -> np.ndarray:
     """Zaksek, Ostir and Kokalj (2011): one less the mean sine of the horizon."""
-    return 1 - np.sin(np.arctan(_horizon(w, halo, size, directions, 0.0))).mean(0)
+    return 1 - np.sin(np.arctan(_horizon(w, halo, size, directions, 0.0, nearest))).mean(0)
 
 
-def openness(w: np.ndarray, halo: int, size: float, directions: int) -> np.ndarray:
+def openness(w: np.ndarray, halo: int, size: float, directions: int, nearest: int = 1) -> np.ndarray:
     """Mean zenith angle of the horizon in degrees."""
-    return 90 - np.degrees(np.arctan(_horizon(w, halo, size, directions, -np.inf))).mean(0)
+    return 90 - np.degrees(np.arctan(_horizon(w, halo, size, directions, -np.inf, nearest))).mean(0)
 
 
 def local_dominance(w: np.ndarray, halo: int, size: float, inner: int, angle: int, height: float) -> np.ndarray:
@@ -94,13 +94,25 @@ def local_relief(w: np.ndarray, halo: int) -> np.ndarray:
     return _shift(w, halo, 0, 0) - box(np.where(there, w, 0.0)) / np.maximum(box(there.astype(float)), 1)
 
 
-def blend(w: np.ndarray, halo: int, size: float) -> np.ndarray:
+#: Fixed values by type of terrain (general, flat, steep): sun elevation, greatest slope, range of openness, range of sky view.
+TERRAINS = (
+    {"sun": 35.0, "slope": 50.0, "open": (68.0, 93.0), "sky": (0.7, 1.0)},
+    {"sun": 15.0, "slope": 15.0, "open": (85.0, 91.0), "sky": (0.9, 1.0)},
+    {"sun": 55.0, "slope": 60.0, "open": (55.0, 95.0), "sky": (0.55, 1.0)},
+)
+
+
+def blend(w: np.ndarray, halo: int, size: float, terrain: dict = TERRAINS[0]) -> np.ndarray:
     """After Kokalj and Somrak (2019): sky view multiplied in, then openness, slope and hillshade over each other."""
+
+    def share(x, low, high):
+        return np.clip((x - low) / (high - low), 0, 1)
+
     near = w[halo - 1 : w.shape[0] - halo + 1, halo - 1 : w.shape[1] - halo + 1]
-    shade = hillshade(near, size, 16, 35.0)
-    steep = 1 - np.clip(slope(near, size) / 50.0, 0, 1)
-    open_ = np.clip((openness(w, halo, size, 16) - 68) / 25.0, 0, 1)
-    sky = np.clip((sky_view(w, halo, size, 16) - 0.7) / 0.3, 0, 1)
+    shade = hillshade(near, size, 16, terrain["sun"])
+    steep = 1 - share(slope(near, size), 0.0, terrain["slope"])
+    open_ = share(openness(w, halo, size, 16), *terrain["open"])
+    sky = share(sky_view(w, halo, size, 16), *terrain["sky"])
     out = 0.5 * shade + 0.5 * steep * shade
     out = 0.5 * out + 0.5 * np.where(out > 0.5, 1 - 2 * (1 - out) * (1 - open_), 2 * out * open_)
     return 0.75 * out + 0.25 * out * sky

@@ -69,6 +69,42 @@ def decode_queries(rows: DataFrame, min_side: float, class_offset: int) -> DataF
     return rows.where((F.col("w") >= min_side) & (F.col("h") >= min_side) & (F.col("class_id") >= 0))
 
 
+def _in_image(rows: DataFrame, model_width: float, model_height: float, unit_x: Column, unit_y: Column) -> DataFrame:
+    """x1, y1, x2, y2 in pixels of the image (width, height), within it."""
+    out = {}
+    for a, at, size, side, model, unit in (("x", "cx", "w", "width", model_width, unit_x), ("y", "cy", "h", "height", model_height, unit_y)):
+        for i, sign in ((1, -0.5), (2, 0.5)):
+            out[f"{a}{i}"] = F.greatest(F.lit(0.0), F.least(F.col(side), (F.col(at) + sign * F.col(size)) * unit * (F.col(side) / model)))
+    return rows.withColumns(out)
+
+
+def rows_in_image(rows: DataFrame, model_width: float, model_height: float, threshold: float) -> DataFrame:
+    """Rows of a one-stage detector with their best class and their box in the image (width, height)."""
+    d = rows.withColumns({"class_id": geo.argmax(F.col("logits")), "conf": F.array_max("logits")}).where(F.col("conf") >= threshold)
+    return _in_image(d, model_width, model_height, F.lit(1.0), F.lit(1.0))
+
+
+def queries_in_image(rows: DataFrame, model_width: float, model_height: float, threshold: float, class_offset: int, min_side: float = 10.0) -> DataFrame:
+    """Rows of a query detector with their best class and their box in the image; small boxes and background go.
+
+    Boxes of an image are shares of the model's input if none of their numbers is above 1.
+    """
+    shares = rows.groupBy("image").agg((F.max(F.greatest("cx", "cy", "w", "h")) <= 1.0).alias("shares"))
+    d = rows.join(shares, "image").withColumns({"class_id": geo.argmax(F.col("logits")) - class_offset, "conf": geo.sigmoid(F.array_max("logits"))})
+    d = d.where((F.col("conf") >= threshold) & (F.col("class_id") >= 0))
+    unit = [F.when(F.col("shares"), m).otherwise(1.0) for m in (model_width, model_height)]
+    d = _in_image(d, model_width, model_height, *unit).drop("shares")
+    return d.where((F.col("x2") - F.col("x1") >= min_side) & (F.col("y2") - F.col("y1") >= min_side))
+
+
+def oriented(cells: DataFrame) -> DataFrame:
+    """Raw output cells(image, r, c, x) as a row for each detection: image, row, v. With fewer rows than columns it is turned."""
+    dims = cells.groupBy("image").agg((F.count_distinct("r") < F.count_distinct("c")).alias("turned"))
+    d = cells.join(dims, "image").select("image", F.when(F.col("turned"), F.col("c")).otherwise(F.col("r")).alias("row"), F.when(F.col("turned"), F.col("r")).otherwise(F.col("c")).alias("k"), "x")
+    d = d.groupBy("image", "row").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v"))
+    return d.select("image", "row", F.transform("v", lambda e: e["x"]).alias("v"))
+
+
 def class_probabilities(rows: DataFrame, bias: float) -> DataFrame:
     """Softmax with the background lowered by a bias and clipped to 0..1."""
     p = geo.softmax(F.col("logits"))

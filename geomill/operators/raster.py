@@ -62,34 +62,45 @@ def with_halo(cells: DataFrame, halo: int, kernel, block: int = BLOCK) -> DataFr
     return dealt.groupBy("bx", "by").applyInPandas(run, "col int, row int, value double")
 
 
-def slope(cells: DataFrame, size: float, percent: bool = False) -> DataFrame:
-    return with_halo(cells, 1, lambda w, h: relief.slope(w, size, percent))
+def raised(cells: DataFrame, ve: float) -> DataFrame:
+    """Heights times the vertical exaggeration."""
+    return cells if ve == 1 else cells.withColumn("z", F.col("z") * float(ve))
 
 
-def hillshade(cells: DataFrame, size: float, directions: int = 16, elevation: float = 35.0) -> DataFrame:
+def slope(cells: DataFrame, size: float, percent: bool = False, ve: float = 1.0) -> DataFrame:
+    return with_halo(raised(cells, ve), 1, lambda w, h: relief.slope(w, size, percent))
+
+
+def hillshade(cells: DataFrame, size: float, directions: int = 16, elevation: float = 35.0, ve: float = 1.0) -> DataFrame:
     """Mean over evenly spread directions of light."""
-    return with_halo(cells, 1, lambda w, h: relief.hillshade(w, size, directions, elevation))
+    return with_halo(raised(cells, ve), 1, lambda w, h: relief.hillshade(w, size, directions, elevation))
+
+
+#: Share of the radius in which the horizon is not sought, by level of noise removal.
+NOISE = (0.0, 0.1, 0.2, 0.4)
 
 
-def sky_view(cells: DataFrame, size: float, radius: int = 10, directions: int = 16) -> DataFrame:
-    return with_halo(cells, radius, lambda w, h: relief.sky_view(w, h, size, directions))
+def sky_view(cells: DataFrame, size: float, radius: int = 10, directions: int = 16, noise: int = 0, ve: float = 1.0) -> DataFrame:
+    nearest = max(1, round(NOISE[noise] * radius))
+    return with_halo(raised(cells, ve), radius, lambda w, h: relief.sky_view(w, h, size, directions, nearest))
 
 
-def openness(cells: DataFrame, size: float, radius: int = 10, directions: int = 16) -> DataFrame:
-    return with_halo(cells, radius, lambda w, h: relief.openness(w, h, size, directions))
+def openness(cells: DataFrame, size: float, radius: int = 10, directions: int = 16, noise: int = 0, ve: float = 1.0) -> DataFrame:
+    nearest = max(1, round(NOISE[noise] * radius))
+    return with_halo(raised(cells, ve), radius, lambda w, h: relief.openness(w, h, size, directions, nearest))
 
 
-def local_dominance(cells: DataFrame, size: float, inner: int = 10, outer: int = 20, angle: int = 15, height: float = 1.7) -> DataFrame:
-    return with_halo(cells, outer, lambda w, h: relief.local_dominance(w, h, size, inner, angle, height))
+def local_dominance(cells: DataFrame, size: float, inner: int = 10, outer: int = 20, angle: int = 15, height: float = 1.7, ve: float = 1.0) -> DataFrame:
+    return with_halo(raised(cells, ve), outer, lambda w, h: relief.local_dominance(w, h, size, inner, angle, height))
 
 
-def local_relief(cells: DataFrame, radius: int = 20) -> DataFrame:
-    return with_halo(cells, radius, lambda w, h: relief.local_relief(w, h))
+def local_relief(cells: DataFrame, radius: int = 20, ve: float = 1.0) -> DataFrame:
+    return with_halo(raised(cells, ve), radius, lambda w, h: relief.local_relief(w, h))
 
 
-def blended(cells: DataFrame, size: float, radius: int = 10) -> DataFrame:
-    """Hillshade, slope, openness and sky view blended in one pass over the halo."""
-    return with_halo(cells, radius, lambda w, h: relief.blend(w, h, size))
+def blended(cells: DataFrame, size: float, radius: int = 10, terrain_type: int = 0) -> DataFrame:
+    """Hillshade, slope, openness and sky view blended in one pass over the halo; terrain_type 0 general, 1 flat, 2 steep."""
+    return with_halo(cells, radius, lambda w, h: relief.blend(w, h, size, relief.TERRAINS[terrain_type]))
 
 
 def terrain(points: DataFrame, x0: float, y1: float, size: float, block: int = BLOCK, reach: int = 8) -> DataFrame:

@@ -20,6 +20,28 @@ def label_text(rows: DataFrame) -> DataFrame:
     return d.select("image", F.array_join(F.transform("r", lambda x: x["text"]), "\n").alias("value"))
 
 
+def without_lines(rows: DataFrame, removed: DataFrame) -> DataFrame:
+    """Label or detection rows without the (image, line) that were removed; lines keep their order."""
+    return rows.join(removed.select("image", "line").distinct(), ["image", "line"], "left_anti")
+
+
+def split_small(features: DataFrame, folder: str, min_area: float) -> None:
+    """Features of at least min_area by class, and the others beside them."""
+    by_class(features.where(F.col("area") >= min_area), f"{folder}/detections")
+    by_class(features.where(F.col("area") < min_area), f"{folder}/detections_filtered_too_small")
+
+
+def sorted_list(records: DataFrame, folder: str) -> None:
+    """name,url lines in order of tile, in ordered part files."""
+    d = records.orderBy("x_km", "y_km", "name", "url")
+    d.select(F.concat_ws(",", "name", "url").alias("value")).write.mode("overwrite").text(folder)
+
+
+def class_list(names: DataFrame, folder: str) -> None:
+    """names(place, name) as lines, unless there is a list already."""
+    names.orderBy("place").coalesce(1).select("name").write.mode("ignore").text(folder)  # a line a class
+
+
 def detection_json(images: DataFrame, rows: DataFrame) -> DataFrame:
     """image with its detection JSON; images without detections have an empty list."""
     own = rows.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("line", "class_id", "confidence", "coords"))).alias("r"))
