@@ -81,13 +81,14 @@ def may_start(checks: list[Check]) -> bool:
     return not any(c.critical and not c.ok for c in checks)
 
 
-PRODUCTS: dict[str, Callable[[DataFrame, float], DataFrame]] = {
-    "M_HS": lambda t, r: raster.hillshade(t, r),
-    "SVF": lambda t, r: raster.sky_view(t, r),
-    "SLO": lambda t, r: raster.slope(t, r),
-    "LD": lambda t, r: raster.local_dominance(t, r),
-    "SLRM": lambda t, r: raster.local_relief(t),
-    "VAT": lambda t, r: raster.blended(t, r),
+#: Each product of terrain(col, row, z), cell size and its own settings, and the range that its 8-bit form spans.
+PRODUCTS: dict[str, tuple[str, Callable[[DataFrame, float, dict], DataFrame], tuple[float, float]]] = {
+    "M_HS": ("mdh", lambda t, r, p: raster.hillshade(t, r, p["num_directions"], p["sun_elevation"], p["ve_factor"]), (0.0, 1.0)),
+    "SVF": ("svf", lambda t, r, p: raster.sky_view(t, r, p["radius"], p["num_directions"], p["noise_remove"], p["ve_factor"]), (0.6375, 1.0)),
+    "SLO": ("slope", lambda t, r, p: raster.slope(t, r, p["unit"] == 1, p["ve_factor"]), (0.0, 51.0)),
+    "LD": ("ldo", lambda t, r, p: raster.local_dominance(t, r, p["min_radius"], p["max_radius"], p["angular_res"], p["observer_h"], p["ve_factor"]), (0.5, 1.8)),
+    "SLRM": ("slrm", lambda t, r, p: raster.local_relief(t, p["radius"], p["ve_factor"]), (-2.0, 2.0)),
+    "VAT": ("vat", lambda t, r, p: raster.blended(t, r, terrain_type=p["terrain_type"]), (0.0, 1.0)),
 }
 
 
@@ -116,8 +117,13 @@ class Terrain:
     options: dict = field(default_factory=lambda: settings(None))
 
     def run(self, terrain: DataFrame) -> dict[str, DataFrame]:
-        p = self.options["processing"]
-        return {k: f(terrain, p["mnt_resolution"]) for k, f in PRODUCTS.items() if p["products"].get(k)}
+        p, out = self.options["processing"], {}
+        for k, (name, product, span) in PRODUCTS.items():
+            if p["products"].get(k):
+                own = self.options["rvt_params"][name]
+                cells = product(terrain, p["mnt_resolution"], own)
+                out[k] = raster.stretched(cells, *span) if own.get("save_as_8bit") else cells
+        return out
 
 
 @dataclass

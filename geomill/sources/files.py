@@ -28,9 +28,14 @@ def link_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, name and length of files below a folder, contents not read."""
+    """path, name and length of files below a folder, in order of path, each once, contents not read."""
     d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return d.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return d.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length").distinct().orderBy("path")
+
+
+def usable(files: DataFrame) -> DataFrame:
+    """Files of a listing that hold anything."""
+    return files.where("length > 0")
 
 
 def world_files(spark: SparkSession, path: str, centre: bool = False) -> DataFrame:
@@ -64,8 +69,6 @@ def detection_files(spark: SparkSession, path: str) -> DataFrame:
     return d.where("d is not null").select("stem", "task", "line", "d.*")
 
 
-
-
 def las_points(raw: bytes) -> np.ndarray:
     """x, y, z and classification of an uncompressed LAS file; the offsets are those of the public format description."""
     if raw[:4] != b"LASF" or raw[104] & 0x80:
