@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geomill.llm import bpe, cap_filters, fingerprints, license_scan, minhash_dedup, mixing, paragraph_dedup, prefix_free, sharding, toxicity
+from geomill.llm import bpe, cap_filters, fingerprints, license_scan, merkle, minhash_dedup, mixing, paragraph_dedup, prefix_free, sharding, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -60,6 +60,12 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = merkle.document_manifest(docs, tampered=merkle.third(F.col("doc_id")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
@@ -71,9 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op2_sharding": sharding.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
 }
