@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geomill.llm import bpe, cap_filters, fingerprints, license_scan, merkle, minhash_dedup, mixing, paragraph_dedup, prefix_free, sharding, toxicity
+from geomill.llm import bpe, cap_filters, fingerprints, license_scan, merkle, minhash_dedup, mixing, paragraph_dedup, prefix_free, sharding, token_counts, toxicity
 
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY, WORDS = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
+#: A text of more tokens is over the limit of a model's context.
+LIMIT = 2048
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,6 +68,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+    return out.withColumn("over_limit", F.col("n_tokens") > LIMIT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_minhash_dedup": op10_minhash_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_counts": op12_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
