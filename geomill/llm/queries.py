@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geomill.llm import bpe, cap_filters, fingerprints, license_scan, merkle, minhash_dedup, mixing, paragraph_dedup, prefix_free, sharding, token_counts, toxicity
+from geomill.llm import alignment, bpe, cap_filters, fingerprints, license_scan, merkle, minhash_dedup, mixing, paragraph_dedup, prefix_free, sharding, token_counts, toxicity
 
 VOCABULARY, WORDS = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
+#: The two tokenizers that are aligned.
+BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A text of more tokens is over the limit of a model's context.
 LIMIT = 2048
 
@@ -73,6 +75,13 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path(BYTES), public_tokenizers.path(PIECES)
+    out = alignment.align_documents(_read(spark, sf_dir, "documents"), a, b)
+    out = out.withColumn("groups_sha256", F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(""))
+    return alignment.score_links(out, alignment.piece_count(b), ["n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
@@ -86,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_dedup": op10_minhash_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_token_counts": op12_token_counts,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
