@@ -25,8 +25,8 @@ from tokenizers import Tokenizer
 from geomill.llm.common import bounded_batches, discard, give_back, slices, written
 from geomill.llm.remembered import Remembered, built
 
-#: Bytes of text in one block of documents.
-BLOCK = 4_000_000
+#: Bytes of text in one block of documents, and signs of new fields that are encoded as one text.
+BLOCK, TOGETHER = 2_000_000, 50_000
 #: Fields start at a space after a sign that is no white space: there both tokenizers have a boundary, whatever follows.
 _FIELD = re.compile(r"(?<=\S) ")
 _PLAIN_PIECE = re.compile("▁*[^▁]*", re.DOTALL)
@@ -60,58 +60,100 @@ class Sides:
             if not _PLAIN_PIECE.fullmatch(piece):
                 raise ValueError("a piece holds a space after another sign, so fields are not independent")
         self.space = self.b.piece_to_id("▁")
+        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         self.a_text, self.b_text = list(map(str, range(len(self.a_bytes)))), list(map(str, range(len(self.b_bytes))))
 
-    def encoded(self, fields: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of fields, given without the space before them. The piece model adds it, save to an empty text."""
-        a = [x.ids for x in self.a.encode_batch_fast([" " + x for x in fields], add_special_tokens=False)]
-        b = [ids or [self.space] for ids in self.b.encode(fields, num_threads=1)] if fields else []
-        return a, b
-
     def aligned(self, fields: list[str]) -> list[tuple]:
-        """For each field (groups as text, n_a, n_b, n_groups, packed links), or None where the bytes are not those of the field."""
-        out = []
-        for field, a, b in zip(fields, *self.encoded(fields), strict=True):
-            raw = b" " + field.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-                out.append(None)
+        """For each field (groups as text, n_a, n_b, n_groups, packed links), or None where the bytes are not those of the field.
+
+        Fields are given without the space before them. Those that end in no white space are independent of what follows
+        and are encoded many in one text.
+        """
+        out: dict[int, tuple | None] = {}
+        some, size = [], 0
+        for k, field in enumerate(fields):
+            if not field or field[-1].isspace():
+                self._align([k], [field], out)
                 continue
-            groups = grouped([len(self.a_bytes[i]) for i in a], [len(self.b_bytes[i]) for i in b])
-            text = ";".join(",".join(map(self.a_text.__getitem__, a[i:j])) + "|" + ",".join(map(self.b_text.__getitem__, b[k:m])) for i, j, k, m in groups)
-            links = np.array([(a[i], b[k]) for i, k in linked([len(self.a_bytes[i]) for i in a], [len(self.b_bytes[i]) for i in b], groups)], np.int64)
-            packed = (links[:, 0] * len(self.b_bytes) + links[:, 1]).astype("<u4").tobytes()
-            out.append((text, len(a), len(b), len(groups), packed))
-        return out
-
-
-def grouped(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """Slices (a from, a to, b from, b to) between the places where tokens of both sides, given by their lengths, end."""
-    a_at = {end: i for i, end in enumerate(accumulate(a), 1)}
-    b_at = {end: i for i, end in enumerate(accumulate(b), 1)}
-    common = sorted(a_at.keys() & b_at.keys())
-    stops = [(a_at[end], b_at[end]) for end in common]
-    return [(i, j, k, m) for (i, k), (j, m) in zip([(0, 0), *stops], stops, strict=False)]
-
-
-def linked(a: list[int], b: list[int], groups: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Pairs of places whose byte ranges overlap, group by group."""
-    out = []
-    for i, j, k, m in groups:
-        if j - i == 1 or m - k == 1:
-            out += [(x, y) for x in range(i, j) for y in range(k, m)]
-            continue
-        a_end, b_end = a[i], b[k]  # both ranges start where the group does
-        while True:
-            out.append((i, k))
-            if a_end == b_end:
-                break  # only at the end of the group
-            if a_end < b_end:
-                i += 1
-                a_end += a[i]
-            else:
-                k += 1
-                b_end += b[k]
-    return out
+            some.append(k)
+            size += len(field)
+            if size > TOGETHER:
+                self._align(some, [fields[i] for i in some], out)
+                some, size = [], 0
+        if some:
+            self._align(some, [fields[i] for i in some], out)
+        return list(map(out.__getitem__, range(len(fields))))
+
+    def _align(self, places: list[int], fields: list[str], out: dict[int, tuple | None]) -> None:
+        text = " ".join(fields)
+        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        b = self.b.encode(text, num_threads=1) if text else [self.space]  # the model adds the space, save to an empty text
+        raw = b" " + text.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            if len(fields) == 1:
+                out[places[0]] = None
+                return
+            half = len(fields) // 2
+            self._align(places[:half], fields[:half], out)
+            self._align(places[half:], fields[half:], out)
+            return
+        a_size, b_size = list(map(self.a_size.__getitem__, a)), list(map(self.b_size.__getitem__, b))
+        a_stop, b_stop, stops = common_ends(a_size, b_size)
+        ends = list(accumulate(1 + len(x.encode()) for x in fields))  # of fields, which are ends of tokens on both sides
+        groups = [f"{self.a_text[x]}|{self.b_text[y]}" for x, y in zip(map(a.__getitem__, a_stop[:-1]), map(b.__getitem__, b_stop[:-1]), strict=True)]
+        stop_a, stop_b = np.array(a_stop), np.array(b_stop)
+        n_a, n_b = np.diff(stop_a), np.diff(stop_b)
+        for g in np.flatnonzero((n_a > 1) | (n_b > 1)).tolist():
+            groups[g] = ",".join(map(self.a_text.__getitem__, a[a_stop[g] : a_stop[g + 1]])) + "|" + ",".join(map(self.b_text.__getitem__, b[b_stop[g] : b_stop[g + 1]]))
+        at_a, at_b, first = links_of(a_size, b_size, stop_a, stop_b)
+        packed = (np.array(a, np.int64)[at_a] * len(self.b_bytes) + np.array(b, np.int64)[at_b]).astype("<u4").tobytes()
+        last = np.searchsorted(stops, ends) + 1  # groups up to the end of each field
+        begin = np.r_[0, last[:-1]]
+        count_a, count_b = stop_a[last] - stop_a[begin], stop_b[last] - stop_b[begin]
+        for k, i, j, x, y, u, v in zip(places, begin.tolist(), last.tolist(), count_a.tolist(), count_b.tolist(), (4 * first[begin]).tolist(), (4 * first[last]).tolist(), strict=True):
+            out[k] = (";".join(groups[i:j]), x, y, j - i, packed[u:v])
+
+
+def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """How many tokens of each side, given by their lengths, end by each place where both have an end, from 0 on; and the places."""
+    a_at = dict(zip(accumulate(a), range(1, len(a) + 1), strict=True))
+    b_at = dict(zip(accumulate(b), range(1, len(b) + 1), strict=True))
+    stops = sorted(a_at.keys() & b_at.keys())
+    return [0, *map(a_at.__getitem__, stops)], [0, *map(b_at.__getitem__, stops)], stops
+
+
+def links_of(a: list[int], b: list[int], a_stop: np.ndarray, b_stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of both sides whose byte ranges overlap, group by group, and how many of these pairs lie before each group."""
+    n_a, n_b = np.diff(a_stop), np.diff(b_stop)
+    tangled = np.flatnonzero((n_a > 1) & (n_b > 1)).tolist()
+    found = {g: overlaps(a[a_stop[g] : a_stop[g + 1]], b[b_stop[g] : b_stop[g + 1]]) for g in tangled}
+    n = np.maximum(n_a, n_b)  # one token of a side meets all of the other
+    for g, pairs in found.items():
+        n[g] = len(pairs)
+    first = np.r_[0, np.cumsum(n)]
+    step = np.arange(first[-1]) - np.repeat(first[:-1], n)
+    at_a = np.repeat(a_stop[:-1], n) + np.where(np.repeat(n_a > 1, n), step, 0)
+    at_b = np.repeat(b_stop[:-1], n) + np.where(np.repeat(n_b > 1, n), step, 0)
+    for g, pairs in found.items():
+        at_a[first[g] : first[g + 1]] = a_stop[g] + np.array([x for x, _ in pairs])
+        at_b[first[g] : first[g + 1]] = b_stop[g] + np.array([y for _, y in pairs])
+    return at_a, at_b, first
+
+
+def overlaps(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Pairs of tokens of one group, given by their lengths, whose ranges overlap."""
+    i = k = 0
+    a_end, b_end, out = a[0], b[0], []
+    while True:
+        out.append((i, k))
+        if a_end == b_end:
+            return out  # only at the end of the group
+        if a_end < b_end:
+            i += 1
+            a_end += a[i]
+        else:
+            k += 1
+            b_end += b[k]
 
 
 def split_fields(text: str) -> list[str]:
@@ -148,7 +190,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_i
     def scan(batches):
         def memory() -> Remembered:
             sides = Sides(*shared.value)
-            return Remembered(sides.aligned, lambda v: 300 + len(v[0]) + len(v[4]) if v else 0)
+            return Remembered(sides.aligned, lambda v: 150 + len(v[0]) + len(v[4]) if v else 0)
 
         known = built(("alignment", name), memory)
         for batch in batches:

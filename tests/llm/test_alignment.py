@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -104,10 +105,13 @@ def test_groups_and_links_of_lengths():
     for _ in range(300):
         cuts = [sorted({0, 40, *rng.sample(range(1, 40), rng.randint(0, 15))}) for _ in range(2)]
         a, b = ([y - x for x, y in zip(c, c[1:], strict=False)] for c in cuts)
-        groups = alignment.grouped(a, b)
-        assert [j for _, j, _, _ in groups][-1] == len(a) and groups[0][0] == 0
+        a_stop, b_stop, stops = alignment.common_ends(a, b)
+        assert stops == sorted({*cuts[0][1:]} & {*cuts[1][1:]}) and (a_stop[-1], b_stop[-1]) == (len(a), len(b))
+        at_a, at_b, first = alignment.links_of(a, b, np.array(a_stop), np.array(b_stop))
         want = [(i, k) for i in range(len(a)) for k in range(len(b)) if cuts[0][i] < cuts[1][k + 1] and cuts[1][k] < cuts[0][i + 1]]
-        assert sorted(alignment.linked(a, b, groups)) == want
+        got = list(zip(at_a.tolist(), at_b.tolist(), strict=True))
+        assert sorted(got) == want and first[-1] == len(want)
+        assert all(a_stop[g] <= i < a_stop[g + 1] for g in range(len(stops)) for i, _ in got[first[g] : first[g + 1]])
 
 
 def test_odd_tables(spark):
