@@ -22,44 +22,6 @@ def greedy(b: np.ndarray, threshold: float, metric: str) -> np.ndarray:
     return keep
 
 
-def exclusive_areas(b: np.ndarray) -> np.ndarray:
-    """Area of the largest connected piece of each box outside all boxes before it.
-
-    Pieces are cut along the edges of the boxes that overlap it, so the result is exact for rectangles.
-    """
-    out = np.zeros(len(b))
-    taken: list[np.ndarray] = []
-    for i, (x0, y0, x1, y1) in enumerate(b):
-        near = [t for t in taken if t[0] < x1 and t[2] > x0 and t[1] < y1 and t[3] > y0]
-        xs = np.unique(np.clip([x0, x1, *(t[0] for t in near), *(t[2] for t in near)], x0, x1))
-        ys = np.unique(np.clip([y0, y1, *(t[1] for t in near), *(t[3] for t in near)], y0, y1))
-        if len(xs) < 2 or len(ys) < 2:
-            continue
-        free = np.ones((len(ys) - 1, len(xs) - 1), bool)
-        for t in near:
-            free[(ys[:-1, None] >= t[1]) & (ys[1:, None] <= t[3]) & (xs[None, :-1] >= t[0]) & (xs[None, 1:] <= t[2])] = False
-        cell = np.diff(ys)[:, None] * np.diff(xs)[None, :]
-        seen = ~free
-        best = 0.0
-        for start in zip(*np.nonzero(free), strict=True):
-            if seen[start]:
-                continue
-            stack, total = [start], 0.0
-            seen[start] = True
-            while stack:
-                r, c = stack.pop()
-                total += cell[r, c]
-                for nr, nc in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
-                    if 0 <= nr < free.shape[0] and 0 <= nc < free.shape[1] and not seen[nr, nc]:
-                        seen[nr, nc] = True
-                        stack.append((nr, nc))
-            best = max(best, total)
-        out[i] = best
-        if best > 0:
-            taken.append(b[i])
-    return out
-
-
 def suppressed(a: list, b: list, sa: list, sb: list) -> list:
     """Of pairs that exclude each other what goes when the best score is kept first, then the smaller id."""
     pairs = [((-x, i), (-y, j)) if (-x, i) < (-y, j) else ((-y, j), (-x, i)) for i, j, x, y in zip(a, b, sa, sb, strict=True)]

@@ -97,9 +97,14 @@ def queries_in_image(rows: DataFrame, model_width: float, model_height: float, t
     return d.where((F.col("x2") - F.col("x1") >= min_side) & (F.col("y2") - F.col("y1") >= min_side))
 
 
+#: Fixed value: an output of so many rows has a row for each detection, however few these are.
+LEAST_ROWS = 10
+
+
 def oriented(cells: DataFrame) -> DataFrame:
-    """Raw output cells(image, r, c, x) as a row for each detection: image, row, v. With fewer rows than columns it is turned."""
-    dims = cells.groupBy("image").agg((F.count_distinct("r") < F.count_distinct("c")).alias("turned"))
+    """Raw output cells(image, r, c, x) as a row for each detection: image, row, v. With fewer rows than columns, and fewer than LEAST_ROWS, it is turned."""
+    r, n = F.count_distinct("r"), F.count_distinct("c")
+    dims = cells.groupBy("image").agg(((r < n) & (r < LEAST_ROWS)).alias("turned"))
     d = cells.join(dims, "image").select("image", F.when(F.col("turned"), F.col("c")).otherwise(F.col("r")).alias("row"), F.when(F.col("turned"), F.col("r")).otherwise(F.col("c")).alias("k"), "x")
     d = d.groupBy("image", "row").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v"))
     return d.select("image", "row", F.transform("v", lambda e: e["x"]).alias("v"))

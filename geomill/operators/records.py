@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from geomill.functions import geo, names
+from geomill.operators.numbering import numbered
 
 
 def located(files: DataFrame) -> DataFrame:
@@ -36,8 +37,7 @@ def terrain_names(files: DataFrame) -> DataFrame:
 
 def progress(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     """done, total and percent of each row of a run; halves go to the even neighbour."""
-    w = W.partitionBy(*by)
-    d = rows.withColumn("done", F.row_number().over(w.orderBy(order))).withColumn("total", F.count("*").over(w))
+    d = numbered(rows, by, [order]).withColumn("done", F.col("number") + 1).drop("number")
     return d.withColumn("percent", F.rint(100.0 * F.col("done") / F.col("total")).cast("int"))
 
 

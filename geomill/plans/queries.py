@@ -192,26 +192,6 @@ def greedy_suppress(spark, d):
     return det.suppress(b, ["x_km", "y_km", "class_id"]).select("id", "class_id")
 
 
-_MET = """SELECT DISTINCT a.id AS a, z.id AS b FROM grown a JOIN grown z ON a.gx = z.gx AND a.gy = z.gy AND a.class_id = z.class_id AND a.id <> z.id
-  AND a.minx - 0.5 <= z.maxx + 0.5 AND z.minx - 0.5 <= a.maxx + 0.5 AND a.miny - 0.5 <= z.maxy + 0.5 AND z.miny - 0.5 <= a.maxy + 0.5"""
-
-
-@query(f"""WITH RECURSIVE {v.BOXES}, {v.UNIQUE}, grown AS (SELECT *, unnest(range(CAST(floor((minx - 0.5) / 50) AS BIGINT), CAST(floor((maxx + 0.5) / 50) AS BIGINT) + 1)) AS gx FROM
-  (SELECT *, unnest(range(CAST(floor((miny - 0.5) / 50) AS BIGINT), CAST(floor((maxy + 0.5) / 50) AS BIGINT) + 1)) AS gy FROM ub)), {labelled("ub", _MET)},
-m AS (SELECT lab.c, ub.*, (maxx - minx) * (maxy - miny) AS own FROM ub JOIN lab ON lab.id = ub.id)
-SELECT class_id, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, round(sum(confidence * own) / sum(own), 6) AS confidence, count(*) AS n
-FROM m GROUP BY c, class_id""")
-def merge_touching(spark, d):
-    b = v.unique_boxes(spark, d)
-    out = det.merge_touching(b, ["class_id"])
-    return out.select("class_id", "minx", "miny", "maxx", "maxy", F.round("confidence", 6).alias("confidence"), "n")
-
-
-@query()
-def remove_overlaps(spark, d):
-    return det.remove_overlaps(v.unique_boxes(spark, d)).select("id", F.round("kept_area", 6).alias("kept_area"))
-
-
 _AGREE = f"""SELECT DISTINCT a.id AS a, z.id AS b FROM dealt a JOIN dealt z ON a.gx = z.gx AND a.gy = z.gy AND a.x_km = z.x_km AND a.y_km = z.y_km AND a.class_id = z.class_id
   AND a.id <> z.id AND {_both("x")} > 0 AND {_both("y")} > 0
   WHERE ({_both("x")}) * ({_both("y")}) / ({_AREAS[0]} + {_AREAS[1]} - ({_both("x")}) * ({_both("y")})) > 0.15"""

@@ -88,6 +88,8 @@ def test_cluster_run(spark):
         for i in np.flatnonzero(~core):
             if (near[i] & core).any():
                 label[i] = min(part[j] for j in np.flatnonzero(near[i] & core))
+        dense = {k: n for n, k in enumerate(sorted(set(part.values())))}
+        label = {i: dense[k] for i, k in label.items()}
         name = cfg["output_class_name"] or "cluster_" + "_".join(cfg["target_classes"])
         for i, k in label.items():
             tags[p[i].id] = f"{name}_{k}"
@@ -114,3 +116,26 @@ def test_selected(spark):
     rows = spark.createDataFrame([(1,), (2,)], "class_id int")
     assert det.selected(rows, "class_id", None).count() == det.selected(rows, "class_id", []).count() == 2
     assert det.selected(rows, "class_id", [2]).count() == 1
+
+
+def test_small_clusters_take_their_boxes(spark):
+    """Two members have the hull of their boxes, three that of their centres, whatever the geometry asked for."""
+    rows = [(1, "a", 0.9, 1.0, 1.0, 0.0, 0.0, 2.0, 2.0), (2, "a", 0.8, 4.0, 1.0, 3.0, 0.0, 5.0, 2.0), *((10 + i, "a", 0.5, 100.0 + 3 * i, 50.0 + 4 * (i % 2), 0.0, 0.0, 1.0, 1.0) for i in range(3))]
+    df = spark.createDataFrame(rows, "id int, class_name string, confidence double, x double, y double, minx double, miny double, maxx double, maxy double")
+    config = {"target_classes": ["a"], "eps_m": 6.0, "min_samples": 2, "min_cluster_size": 2, "buffer_m": 0.0, "output_geometry": "bounding_box"}
+    shapes, tagged = det.run_clusters(df, [config])
+    assert {r.cluster_id: (r.nb_detect, r.area_m2) for r in shapes.collect()} == {"cluster_a_0": (2, 10.0), "cluster_a_1": (3, 24.0)}
+    assert {r.id: r.cluster_id for r in tagged.collect()} == {1: "cluster_a_0", 2: "cluster_a_0", 10: "cluster_a_1", 11: "cluster_a_1", 12: "cluster_a_1"}
+
+
+def test_numbered(spark):
+    from geomill.operators.numbering import numbered
+
+    rows = [(i % 7 % 3 or None, (i * 37) % 50, i) for i in range(400)] + [(1, 5, 1)] * 100
+    df = spark.createDataFrame(rows, "k int, o int, i int").repartition(5)
+    got = numbered(df, ["k"], ["o", "i"]).collect()
+    for k in (None, 1, 2):
+        own = sorted((r.number, r.o, r.i) for r in got if r.k == k)
+        assert [n for n, _, _ in own] == list(range(len(own))) and [r[1:] for r in own] == sorted(r[1:] for r in own)
+        assert {r.total for r in got if r.k == k} == {len(own)}
+    assert numbered(df.limit(0), [], ["o"]).count() == 0
