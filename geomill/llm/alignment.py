@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable
+from collections import Counter
 from itertools import accumulate
 
 import numpy as np
@@ -27,6 +27,8 @@ from geomill.llm.remembered import Remembered, built
 
 #: Bytes of text in one block of documents, and signs of new fields that are encoded as one text.
 BLOCK, TOGETHER = 2_000_000, 50_000
+#: Bytes of fields that one generation of a worker's memory holds.
+REMEMBERED = 90_000_000
 #: Fields start at a space after a sign that is no white space: there both tokenizers have a boundary, whatever follows.
 _FIELD = re.compile(r"(?<=\S) ")
 _PLAIN_PIECE = re.compile("▁*[^▁]*", re.DOTALL)
@@ -99,12 +101,11 @@ class Sides:
             return
         a_size, b_size = list(map(self.a_size.__getitem__, a)), list(map(self.b_size.__getitem__, b))
         a_stop, b_stop, stops = common_ends(a_size, b_size)
-        ends = list(accumulate(1 + len(x.encode()) for x in fields))  # of fields, which are ends of tokens on both sides
-        groups = [f"{self.a_text[x]}|{self.b_text[y]}" for x, y in zip(map(a.__getitem__, a_stop[:-1]), map(b.__getitem__, b_stop[:-1]), strict=True)]
+        ends = list(accumulate(1 + (len(x) if x.isascii() else len(x.encode())) for x in fields))  # of fields, which are ends of tokens on both sides
+        a_text, b_text = list(map(self.a_text.__getitem__, a)), list(map(self.b_text.__getitem__, b))
+        spans = zip(a_stop, a_stop[1:], b_stop, b_stop[1:], strict=False)
+        groups = [f"{a_text[i]}|{b_text[k]}" if j - i == 1 == m - k else ",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in spans]
         stop_a, stop_b = np.array(a_stop), np.array(b_stop)
-        n_a, n_b = np.diff(stop_a), np.diff(stop_b)
-        for g in np.flatnonzero((n_a > 1) | (n_b > 1)).tolist():
-            groups[g] = ",".join(map(self.a_text.__getitem__, a[a_stop[g] : a_stop[g + 1]])) + "|" + ",".join(map(self.b_text.__getitem__, b[b_stop[g] : b_stop[g + 1]]))
         at_a, at_b, first = links_of(a_size, b_size, stop_a, stop_b)
         packed = (np.array(a, np.int64)[at_a] * len(self.b_bytes) + np.array(b, np.int64)[at_b]).astype("<u4").tobytes()
         last = np.searchsorted(stops, ends) + 1  # groups up to the end of each field
@@ -126,17 +127,19 @@ def links_of(a: list[int], b: list[int], a_stop: np.ndarray, b_stop: np.ndarray)
     """Places of both sides whose byte ranges overlap, group by group, and how many of these pairs lie before each group."""
     n_a, n_b = np.diff(a_stop), np.diff(b_stop)
     tangled = np.flatnonzero((n_a > 1) & (n_b > 1)).tolist()
-    found = {g: overlaps(a[a_stop[g] : a_stop[g + 1]], b[b_stop[g] : b_stop[g + 1]]) for g in tangled}
+    at = zip(tangled, a_stop[tangled].tolist(), a_stop[1:][tangled].tolist(), b_stop[tangled].tolist(), b_stop[1:][tangled].tolist(), strict=True)
+    found = {g: overlaps(a[i:j], b[k:m]) for g, i, j, k, m in at}
     n = np.maximum(n_a, n_b)  # one token of a side meets all of the other
-    for g, pairs in found.items():
-        n[g] = len(pairs)
+    n[tangled] = list(map(len, found.values()))
     first = np.r_[0, np.cumsum(n)]
     step = np.arange(first[-1]) - np.repeat(first[:-1], n)
     at_a = np.repeat(a_stop[:-1], n) + np.where(np.repeat(n_a > 1, n), step, 0)
     at_b = np.repeat(b_stop[:-1], n) + np.where(np.repeat(n_b > 1, n), step, 0)
-    for g, pairs in found.items():
-        at_a[first[g] : first[g + 1]] = a_stop[g] + np.array([x for x, _ in pairs])
-        at_b[first[g] : first[g + 1]] = b_stop[g] + np.array([y for _, y in pairs])
+    if found:
+        spots = np.concatenate([np.arange(first[g], first[g + 1]) for g in tangled])
+        own = np.array([x for pairs in found.values() for x in pairs])
+        at_a[spots] = np.repeat(a_stop[tangled], n[tangled]) + own[:, 0]
+        at_b[spots] = np.repeat(b_stop[tangled], n[tangled]) + own[:, 1]
     return at_a, at_b, first
 
 
@@ -163,7 +166,26 @@ def split_fields(text: str) -> list[str]:
 
 
 _ALIGNED = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "groups": pa.string(), "block": pa.int64(), "wide": pa.bool_(), "links": pa.binary(), "pairs": pa.binary(), "times": pa.binary()}
-_NO_TOKENS = ("", 0, 0, 0, b"")
+_NO_TOKENS = ("", 0, 0, 0)
+
+
+def _placed(links: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool, list[bytes]]:
+    """The distinct id pairs of a block's fields, how often the block links each, and the places of each field's links among them.
+
+    Pairs that are linked more often have smaller places, which compress well; places take two bytes or, where wide, four.
+    """
+    pairs, place = np.unique(np.frombuffer(b"".join(links), "<u4"), return_inverse=True)
+    size = [len(x) // 4 for x in links]
+    times = np.bincount(place, np.repeat(weight, size), len(pairs)).astype(np.int64)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(pairs), np.int64)
+    rank[order] = np.arange(len(pairs))
+    wide = len(pairs) > 1 << 16
+    width = 4 if wide else 2
+    raw = rank[place].astype("<u4" if wide else "<u2").tobytes()
+    ends = [0, *accumulate(width * n for n in size)]
+    used = order[times[order] > 0]  # fields of documents without tokens are never linked, and come last
+    return pairs[used].astype("<u4"), times[used].astype("<u4"), wide, [raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,36 +212,39 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_i
     def scan(batches):
         def memory() -> Remembered:
             sides = Sides(*shared.value)
-            return Remembered(sides.aligned, lambda v: 150 + len(v[0]) + len(v[4]) if v else 0)
+            return Remembered(sides.aligned, lambda v: 150 + len(v[0]) + len(v[4]) if v else 0, REMEMBERED)
 
         known = built(("alignment", name), memory)
         for batch in batches:
             for part in slices(batch, "text", BLOCK):
                 found = [split_fields(x) if x else [] for x in part.column("text").to_pylist()]
-                of = known.of(set().union(*found)).__getitem__
+                distinct = list(set().union(*found))
+                got = known.of(set(distinct))
+                met = [f for f in distinct if got[f] is not None]
+                bad = set(distinct).difference(met)
+                whole = [bool(fields) and bad.isdisjoint(fields) for fields in found]
+                times: Counter = Counter()
+                for fields, w in zip(found, whole, strict=True):
+                    if w:
+                        times.update(fields)
+                pairs, times, wide, places = _placed([got[f][4] for f in met], np.array([times[f] for f in met], np.int64))
+                of, place = got.__getitem__, dict(zip(met, places, strict=True)).__getitem__
                 rows, raw = [], []
-                for fields in found:
-                    got = list(map(of, fields))
-                    if not got or None in got:
-                        rows.append(_NO_TOKENS[:4])
+                for fields, w in zip(found, whole, strict=True):
+                    if not w:
+                        rows.append(_NO_TOKENS)
                         raw.append(b"")
                         continue
-                    texts, n_a, n_b, n_groups, links = zip(*got, strict=True)
+                    texts, n_a, n_b, n_groups, _ = zip(*map(of, fields), strict=True)
                     rows.append((";".join(texts), sum(n_a), sum(n_b), sum(n_groups)))
-                    raw.append(b"".join(links))
+                    raw.append(b"".join(map(place, fields)))
                 del found
-                pairs, place, times = np.unique(np.frombuffer(b"".join(raw), "<u4"), return_inverse=True, return_counts=True)
-                common = np.argsort(-times, kind="stable")  # often met pairs get small places, which compress well
-                rank = np.empty(len(pairs), np.int64)
-                rank[common] = np.arange(len(pairs))
-                wide = len(pairs) > 1 << 16
-                place = rank[place].astype("<u4" if wide else "<u2")
-                ends = np.cumsum([len(x) // 4 for x in raw])
+                width = 4 if wide else 2
                 n, rest = len(raw), [None] * (len(raw) - 1)
                 columns = {
-                    "n_a": [r[1] for r in rows], "n_b": [r[2] for r in rows], "n_groups": [r[3] for r in rows], "n_links": [len(x) // 4 for x in raw],
+                    "n_a": [r[1] for r in rows], "n_b": [r[2] for r in rows], "n_groups": [r[3] for r in rows], "n_links": [len(x) // width for x in raw],
                     "groups": [r[0] for r in rows], "block": [part.column("row")[0].as_py()] * n, "wide": [wide] * n,
-                    "links": [x.tobytes() for x in np.split(place, ends[:-1])], "pairs": [pairs[common].astype("<u4").tobytes(), *rest], "times": [times[common].astype("<u4").tobytes(), *rest],
+                    "links": raw, "pairs": [pairs.tobytes(), *rest], "times": [times.tobytes(), *rest],
                 }
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(columns[c], k) for c, k in _ALIGNED.items())], ["doc_id", *_ALIGNED])
         give_back()

@@ -17,15 +17,15 @@ class Remembered:
     Two generations: a full young one becomes the old one, whose entries are taken over when they are met again.
     """
 
-    def __init__(self, make: Callable[[list], Iterable], size: Callable[[object], int]):
-        self.make, self.size = make, size
+    def __init__(self, make: Callable[[list], Iterable], size: Callable[[object], int], most: int = GENERATION):
+        self.make, self.size, self.most = make, size, most
         self.young: dict = {}
         self.old: dict = {}
         self.held = 0
 
     def of(self, keys: set) -> dict:
         """A dictionary that has the values of all keys."""
-        if self.held > GENERATION:
+        if self.held > self.most:
             self.old, self.young, self.held = self.young, {}, 0
         new, got = [], {}
         for key in keys.difference(self.young):
