@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geomill.kernels import relief, tin
+from geomill.kernels import hulls, relief, tin
+from geomill.operators.stages import discard, written
 
 BLOCK = 64
 
@@ -103,28 +104,84 @@ def blended(cells: DataFrame, size: float, radius: int = 10, terrain_type: int =
     return with_halo(cells, radius, lambda w, h: relief.blend(w, h, size, relief.TERRAINS[terrain_type]))
 
 
-def terrain(points: DataFrame, x0: float, y1: float, size: float, block: int = BLOCK, reach: int = 8) -> DataFrame:
-    """Heights at cell centres on a triangulation of the points(x, y, z), block by block with a margin of `reach` cells.
+def hull_of(points: DataFrame) -> np.ndarray:
+    """Corners of the hull of points(x, y): each task keeps the hull of what it has seen, so few rows come to the driver."""
 
-    Points of one place are averaged first. Cells outside the hull of a block's points have none.
-    """
-    p = points.groupBy("x", "y").agg(F.avg("z").alias("z"))
-    p = on_grid(p, x0, y1, size)
+    def corners(batches):
+        ring = np.zeros((0, 2))
+        for pdf in batches:
+            ring = hulls.convex(np.concatenate([ring, pdf[["x", "y"]].to_numpy()]))
+        yield pd.DataFrame({"x": ring[:, 0], "y": ring[:, 1]})
 
-    def near(c: str):
-        return F.sequence(F.floor((F.col(c) - reach) / block).cast("int"), F.floor((F.col(c) + reach) / block).cast("int"))
+    few = points.select("x", "y").mapInPandas(corners, "x double, y double").repartition(16).mapInPandas(corners, "x double, y double")
+    rows = np.array([tuple(r) for r in few.collect()], float).reshape(-1, 2)
+    return hulls.convex(rows) if len(rows) else rows
 
-    p = p.withColumn("bx", F.explode(near("col"))).withColumn("by", F.explode(near("row")))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bx, by = key
-        c, r = np.meshgrid(np.arange(bx * block, (bx + 1) * block), np.arange(by * block, (by + 1) * block))
-        at = np.c_[x0 + (c.ravel() + 0.5) * size, y1 - (r.ravel() + 0.5) * size]
-        z = tin.interpolate(pdf[["x", "y"]].to_numpy(), pdf["z"].to_numpy(), at)
-        ok = ~np.isnan(z)
-        return pd.DataFrame({"col": c.ravel()[ok].astype("int32"), "row": r.ravel()[ok].astype("int32"), "z": z[ok]})
+def terrain(points: DataFrame, x0: float, y1: float, size: float, block: int = BLOCK, reach: int = 8, steps: int = 1024) -> DataFrame:
+    """Heights at the centres of cells on the Delaunay triangulation of all points(x, y, z): rows (col, row, z).
 
-    return p.groupBy("bx", "by").applyInPandas(run, "col int, row int, z double")
+    Each block of cells fetches the points up to `reach` cells around it. It is done when every triangle over one of its
+    cells is certain: its circle holds no place inside the hull of all points where nothing was fetched. Other blocks
+    come again, with a reach three times as wide, until all are done, so neither block nor reach changes a height. A block in a
+    gap of the points sees what lies about as far off as the gap is wide. Cells outside the hull have no height.
+
+    Places are set on a grid of 1/steps and points of one place are averaged first. Fewer than three points off a line: no rows.
+    """
+    place = [F.rint((F.col("x") - x0) * steps).cast("long").alias("ix"), F.rint((F.col("y") - y1) * steps).cast("long").alias("iy")]
+    p = points.where("x is not null and y is not null and z is not null").groupBy(*place).agg(F.avg("z").alias("z"))
+    side = float(block * size)
+    p = p.select((F.col("ix") / steps).alias("x"), (F.col("iy") / steps).alias("y"), "z")
+    p = written(p.withColumns({"px": F.floor(F.col("x") / side), "py": F.floor(-F.col("y") / side)}), "places")
+    hull = hull_of(p)
+    spark = points.sparkSession
+    out = spark.createDataFrame([], "col int, row int, z double")
+    if len(hull) < 3:
+        return out
+    (u0, v0), (u1, v1) = np.floor(np.c_[hull[:, 0], -hull[:, 1]].min(0) / side).astype(int), np.floor(np.c_[hull[:, 0], -hull[:, 1]].max(0) / side).astype(int)
+    wide = int(u1 - u0 + 1)
+
+    def touching(batches):
+        for pdf in batches:
+            keep = []
+            for bx, by in zip(pdf["bx"], pdf["by"], strict=True):
+                ring = hull
+                for axis, limit, below in ((0, (bx + 1) * side, True), (0, bx * side, False), (1, -by * side, True), (1, -(by + 1) * side, False)):
+                    ring = tin.clipped(ring, axis, limit, below)
+                keep.append(len(ring) > 0)
+            yield pdf[keep]
+
+    every = spark.range(wide * int(v1 - v0 + 1)).select((F.col("id") % wide + int(u0)).alias("bx"), (F.floor(F.col("id") / wide) + int(v0)).alias("by"))
+    todo = written(every.mapInPandas(touching, "bx long, by long"), "blocks")
+
+    while not todo.isEmpty():
+        far = reach * size
+        ring = int(np.ceil(reach / block))
+        around = [F.explode(F.sequence(F.col(b) - ring, F.col(b) + ring)).alias(k) for b, k in (("bx", "px"), ("by", "py"))]
+        asked = todo.select("bx", "by", around[0]).select("bx", "by", "px", around[1])
+        near = asked.join(p, ["px", "py"]).where(
+            (F.col("x") >= F.col("bx") * side - far) & (F.col("x") < (F.col("bx") + 1) * side + far) & (F.col("y") <= far - F.col("by") * side) & (F.col("y") > -(F.col("by") + 1) * side - far)
+        )
+
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            bx, by = key
+            c, r = np.meshgrid(np.arange(bx * block, (bx + 1) * block), np.arange(by * block, (by + 1) * block))
+            at = np.c_[(c.ravel() + 0.5) * size, -(r.ravel() + 0.5) * size]
+            limits = ((0, bx * side - far, True), (0, (bx + 1) * side + far, False), (1, -(by + 1) * side - far, True), (1, far - by * side, False))
+            beyond = [ring for ring in (tin.clipped(hull, *x) for x in limits) if len(ring)]
+            z = tin.heights(pdf[["x", "y"]].to_numpy(), pdf["z"].to_numpy(), at, steps, beyond, hull)
+            if z is None:
+                return pd.DataFrame({"bx": [], "by": [], "col": [], "row": [], "z": []})
+            ok = np.flatnonzero(~np.isnan(z))
+            rows = pd.DataFrame({"bx": bx, "by": by, "col": c.ravel()[ok], "row": r.ravel()[ok], "z": z[ok]})
+            return pd.concat([rows, pd.DataFrame({"bx": [bx], "by": [by], "col": [None], "row": [None], "z": [None]}, dtype=object)])  # the block is done
+
+        done = written(near.groupBy("bx", "by").applyInPandas(run, "bx long, by long, col int, row int, z double"), "heights")
+        out = out.unionByName(done.where("col is not null").select("col", "row", "z"))
+        last, todo = todo, written(todo.join(done.where("col is null").select("bx", "by"), ["bx", "by"], "left_anti"), "blocks")
+        discard(last)
+        reach *= 3
+    return out
 
 
 def stretched(cells: DataFrame, low: float, high: float) -> DataFrame:

@@ -377,7 +377,7 @@ SELECT col, "row", round(0.75E0 * n + 0.25E0 * n * s, 6) AS value FROM e""")
 
 @query()
 def terrain_tin(spark, d):
-    return raster.terrain(v.ground(spark, d), X0, Y1, 20.0, block=16, reach=2).select("col", "row", F.round("z", 6).alias("z"))
+    return raster.terrain(v.ground(spark, d), X0, Y1, 20.0, block=32, reach=4).select("col", "row", F.round("z", 6).alias("z"))
 
 
 # ---- names, links, numbers -----------------------------------------------------------------------------------

@@ -66,9 +66,7 @@ def test_boxes():
     b = np.array([[0, 0, 10, 10], [5, 0, 15, 10], [40, 0, 50, 10.0]])
     assert boxes.greedy(b, 0.5, "IOS").tolist() == [True, False, True]
     assert boxes.greedy(b, 0.5, "IOU").tolist() == [True, True, True]
-    assert boxes.exclusive_areas(b).tolist() == [100, 50, 100]
     split = np.array([[4, -5, 6, 15], [0, 0, 10, 10.0]])  # the second is cut in two
-    assert boxes.exclusive_areas(split).tolist() == [40, 40]
 
 
 def test_hull_and_triangles():
