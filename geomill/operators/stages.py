@@ -39,3 +39,8 @@ def discard(*frames: DataFrame) -> None:
             sc = df.sparkSession.sparkContext
             place = sc._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many partitions as shuffles have: small rows with much work each are not drawn together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
