@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import Counter
 from itertools import accumulate
 
 import numpy as np
@@ -30,7 +29,7 @@ BLOCK, TOGETHER = 2_000_000, 50_000
 #: Bytes of fields that one generation of a worker's memory holds.
 REMEMBERED = 90_000_000
 #: Fields start at a space after a sign that is no white space: there both tokenizers have a boundary, whatever follows.
-_FIELD = re.compile(r"(?<=\S) ")
+_FIELD, _GAP = re.compile(r"(?<=\S) "), re.compile(r"\s ")
 _PLAIN_PIECE = re.compile("▁*[^▁]*", re.DOTALL)
 
 
@@ -161,31 +160,23 @@ def overlaps(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 def split_fields(text: str) -> list[str]:
     """The fields of a space and the text, without the space that each begins with."""
-    first, *rest = _FIELD.split(" " + text)
-    return [first[1:], *rest]
+    if text.startswith(" ") or _GAP.search(text):
+        first, *rest = _FIELD.split(" " + text)
+        return [first[1:], *rest]
+    return text.split(" ")
 
 
 _ALIGNED = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "groups": pa.string(), "block": pa.int64(), "wide": pa.bool_(), "links": pa.binary(), "pairs": pa.binary(), "times": pa.binary()}
 _NO_TOKENS = ("", 0, 0, 0)
 
 
-def _placed(links: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool, list[bytes]]:
-    """The distinct id pairs of a block's fields, how often the block links each, and the places of each field's links among them.
-
-    Pairs that are linked more often have smaller places, which compress well; places take two bytes or, where wide, four.
-    """
+def _placed(links: list[bytes]) -> tuple[np.ndarray, int, list[bytes]]:
+    """The distinct id pairs of fields, the bytes of a place among them, and the places of each field's links."""
     pairs, place = np.unique(np.frombuffer(b"".join(links), "<u4"), return_inverse=True)
-    size = [len(x) // 4 for x in links]
-    times = np.bincount(place, np.repeat(weight, size), len(pairs)).astype(np.int64)
-    order = np.argsort(-times, kind="stable")
-    rank = np.empty(len(pairs), np.int64)
-    rank[order] = np.arange(len(pairs))
-    wide = len(pairs) > 1 << 16
-    width = 4 if wide else 2
-    raw = rank[place].astype("<u4" if wide else "<u2").tobytes()
-    ends = [0, *accumulate(width * n for n in size)]
-    used = order[times[order] > 0]  # fields of documents without tokens are never linked, and come last
-    return pairs[used].astype("<u4"), times[used].astype("<u4"), wide, [raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    width = 4 if len(pairs) > 1 << 16 else 2
+    raw = place.astype(f"<u{width}").tobytes()
+    ends = [0, *accumulate(len(x) // 4 * width for x in links)]
+    return pairs.astype("<u4"), width, [raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,7 +203,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_i
     def scan(batches):
         def memory() -> Remembered:
             sides = Sides(*shared.value)
-            return Remembered(sides.aligned, lambda v: 150 + len(v[0]) + len(v[4]) if v else 0, REMEMBERED)
+            return Remembered(sides.aligned, 240, REMEMBERED)
 
         known = built(("alignment", name), memory)
         for batch in batches:
@@ -221,25 +212,22 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_i
                 distinct = list(set().union(*found))
                 got = known.of(set(distinct))
                 met = [f for f in distinct if got[f] is not None]
+                values = [got[f] for f in met]
+                pairs, width, places = _placed([v[4] for v in values])
+                of = {f: (*v[:4], x) for f, v, x in zip(met, values, places, strict=True)}.__getitem__
                 bad = set(distinct).difference(met)
-                whole = [bool(fields) and bad.isdisjoint(fields) for fields in found]
-                times: Counter = Counter()
-                for fields, w in zip(found, whole, strict=True):
-                    if w:
-                        times.update(fields)
-                pairs, times, wide, places = _placed([got[f][4] for f in met], np.array([times[f] for f in met], np.int64))
-                of, place = got.__getitem__, dict(zip(met, places, strict=True)).__getitem__
                 rows, raw = [], []
-                for fields, w in zip(found, whole, strict=True):
-                    if not w:
+                for fields in found:
+                    if not fields or not bad.isdisjoint(fields):
                         rows.append(_NO_TOKENS)
                         raw.append(b"")
                         continue
-                    texts, n_a, n_b, n_groups, _ = zip(*map(of, fields), strict=True)
+                    texts, n_a, n_b, n_groups, links = zip(*map(of, fields), strict=True)
                     rows.append((";".join(texts), sum(n_a), sum(n_b), sum(n_groups)))
-                    raw.append(b"".join(map(place, fields)))
-                del found
-                width = 4 if wide else 2
+                    raw.append(b"".join(links))
+                del found, of, values
+                wide = width == 4
+                times = np.bincount(np.frombuffer(b"".join(raw), f"<u{width}"), minlength=len(pairs)).astype("<u4")
                 n, rest = len(raw), [None] * (len(raw) - 1)
                 columns = {
                     "n_a": [r[1] for r in rows], "n_b": [r[2] for r in rows], "n_groups": [r[3] for r in rows], "n_links": [len(x) // width for x in raw],

@@ -12,12 +12,12 @@ EACH, LONGEST = 200, 256
 
 
 class Remembered:
-    """Values of keys that were met lately. `make` gives the values of a list of new keys, `size` the bytes of a value.
+    """Values of keys that were met lately. `make` gives the values of a list of new keys, `size` is about the bytes of a value.
 
     Two generations: a full young one becomes the old one, whose entries are taken over when they are met again.
     """
 
-    def __init__(self, make: Callable[[list], Iterable], size: Callable[[object], int], most: int = GENERATION):
+    def __init__(self, make: Callable[[list], Iterable], size: int, most: int = GENERATION):
         self.make, self.size, self.most = make, size, most
         self.young: dict = {}
         self.old: dict = {}
@@ -36,7 +36,7 @@ class Remembered:
         got.update(zip(new, self.make(new), strict=True) if new else ())
         apart = {key: got.pop(key) for key in new if len(key) > LONGEST}
         self.young.update(got)
-        self.held += sum(len(k) + self.size(v) + EACH for k, v in got.items())
+        self.held += sum(map(len, got)) + (self.size + EACH) * len(got)
         return self.young | apart if apart else self.young
 
 

@@ -161,7 +161,7 @@ def count_tokens(
     def scan(batches):
         def memory() -> Remembered:
             tokenizer = _tokenizer(shared.value)
-            return Remembered(lambda fields: _counts(tokenizer, [x.decode("utf-8", "replace") for x in fields]), lambda _: 28)
+            return Remembered(lambda fields: _counts(tokenizer, [x.decode("utf-8", "replace") for x in fields]), 28)
 
         known = built(("counts", name), memory)
         for batch in batches:
