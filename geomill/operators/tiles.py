@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geomill.functions import geo, names
+from geomill.operators.stages import written
 
 
 def neighbours(tiles: DataFrame) -> DataFrame:
@@ -13,8 +14,9 @@ def neighbours(tiles: DataFrame) -> DataFrame:
 
     Offsets are exploded and the join is by equal coordinates; of several files of one place the last name counts.
     """
-    # parsed in an aggregate: its result cannot be tested below it, so each name is parsed once
-    t = tiles.groupBy("filename").agg(F.max(names.tile_xy(F.col("filename"))).alias("xy")).where("xy is not null")
+    # written before anything is asked of them: each distinct name is parsed once, for both sides of the join
+    t = tiles.select("filename").distinct().select("filename", names.tile_xy(F.col("filename")).alias("xy"))
+    t = written(t, "tile-names").where("xy is not null")
     t = t.select("filename", F.col("xy.x_km").alias("x"), F.col("xy.y_km").alias("y"))
     eight = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
     offsets = F.array(*(F.struct(F.lit(i + 1).alias("place"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(eight)))

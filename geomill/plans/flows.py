@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from geomill.functions import geo, names
 from geomill.operators import detections as det
 from geomill.operators import labels, tiles
+from geomill.operators.stages import written
 from geomill.plans import views as v
 from geomill.plans.queries import c, query, settled
 
@@ -25,11 +26,14 @@ def _files(spark, d):
 
 def _features(spark, d):
     files = _files(spark, d)
-    images = files.select(F.replace("stem", F.lit("_detections"), F.lit("")).alias("image"), "x_km", "y_km").groupBy("image").agg(F.max("x_km").alias("x"), F.max("y_km").alias("y"))
+    stems = written(files.groupBy("stem").agg(F.max("x_km").alias("x_km"), F.max("y_km").alias("y_km")), "stems")  # a row for each file: all below reads this
+    images = stems.select(F.replace("stem", F.lit("_detections"), F.lit("")).alias("image"), "x_km", "y_km").groupBy("image").agg(F.max("x_km").alias("x"), F.max("y_km").alias("y"))
+    images = written(images, "images")
     sizes = images.where("y % 3 <> 0").select("image", (1000 + 100 * (c("y") % 7)).alias("width"), (1500 + 100 * (c("x") % 3)).alias("height"))
     worlds = images.where("x % 4 = 1").select("image", F.lit(0.25).alias("pw"), F.lit(-0.25).alias("ph"), (c("x") * 1000.0 + 1).alias("x0"), (c("y") * 1000.0 - 1).alias("y0"))
     transforms = images.where("x % 3 = 0").select(c("image").alias("name"), F.lit(1.0).alias("pw"), F.lit(-1.0).alias("ph"), (c("x") * 1000.0).alias("x0"), (c("y") * 1000.0).alias("y0"))
-    return labels.features(files, labels.placed(files, sizes, worlds, transforms), [" mound", "pit", "wall "], {"pit": 7})
+    places = written(labels.placed(stems, sizes, worlds, transforms), "places")
+    return labels.features(files, places, [" mound", "pit", "wall "], {"pit": 7})
 
 
 @query(_FILES + """, im AS (SELECT replace(stem, '_detections', '') AS image, max(x_km) AS x, max(y_km) AS y FROM l GROUP BY 1),
