@@ -14,11 +14,15 @@ from geomill.operators.stages import written
 
 
 def _runs(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Cells side by side in a row of one mask as runs: id, row, c0, c1. An id sorts by row, then column."""
+    """Cells side by side in a row of one mask as runs: row, c0, c1."""
     w = W.partitionBy(*by, "row").orderBy("col")  # one row of one image
     d = cells.select(*by, "row", "col").distinct().withColumn("gap", F.col("col") - F.row_number().over(w))
-    d = d.groupBy(*by, "row", "gap").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("gap")
-    return d.withColumn("id", F.concat_ws("|", *by, F.format_string("%09d", "row"), F.format_string("%09d", "c0")))
+    return d.groupBy(*by, "row", "gap").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("gap")
+
+
+def _named(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Runs with an id that sorts by row, then column."""
+    return runs.withColumn("id", F.concat_ws("|", *by, F.format_string("%09d", "row"), F.format_string("%09d", "c0")))
 
 
 def regions(cells: DataFrame, by: list[str], min_area: int = 25, min_compactness: float = 0.0, size: float = 64.0) -> tuple[DataFrame, DataFrame]:
@@ -29,7 +33,12 @@ def regions(cells: DataFrame, by: list[str], min_area: int = 25, min_compactness
     than min_compactness go. A hole is a cycle of runs that touch, so counts of runs and of touching pairs tell
     their number. Rows and columns are from 0.
     """
-    runs = written(_runs(cells, by), "runs")
+    return run_regions(_runs(cells, by), by, min_area, min_compactness, size)
+
+
+def run_regions(runs: DataFrame, by: list[str], min_area: int = 25, min_compactness: float = 0.0, size: float = 64.0) -> tuple[DataFrame, DataFrame]:
+    """`regions` of masks that are runs (row, c0, c1, and the columns of `by`) which neither overlap nor touch within a row."""
+    runs = written(_named(runs, by), "runs")
     edge = {"minx": F.col("c0") - 0.5, "maxx": F.col("c1") + 0.5, "miny": F.col("row") - 0.5, "maxy": F.col("row") + 0.5}
     b = runs.select("id", *by, "row", "c0", "c1", *(e.alias(k) for k, e in edge.items()))
     pairs = written(box_pairs(b, b, size, by).where("row_b = row_a + 1").select("id_a", "id_b", F.greatest(F.lit(0), F.least("c1_a", "c1_b") - F.greatest("c0_a", "c0_b") + 1).alias("shared")), "pairs")
