@@ -1,11 +1,7 @@
-"""File sources as DataFrames: link lists, labels, detection JSON, world files, point clouds, listings."""
+"""File sources as DataFrames: link lists, labels, detection JSON, world files, listings."""
 
 from __future__ import annotations
 
-import struct
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,44 +63,3 @@ def detection_files(spark: SparkSession, path: str) -> DataFrame:
     d = spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.from_json("value", DETECTIONS).alias("j"))
     d = d.select(F.regexp_replace("file", r"\.json$", "").alias("stem"), "j.task", F.posexplode_outer("j.detections").alias("line", "d"))
     return d.where("d is not null").select("stem", "task", "line", "d.*")
-
-
-def las_points(raw: bytes) -> np.ndarray:
-    """x, y, z and classification of an uncompressed LAS file; the offsets are those of the public format description."""
-    if raw[:4] != b"LASF" or raw[104] & 0x80:
-        raise ValueError("not an uncompressed LAS file")
-    start, kind, length, count = *struct.unpack_from("<I", raw, 96), raw[104] & 0x3F, *struct.unpack_from("<HI", raw, 105)
-    if raw[25] >= 4 and not count:
-        count = struct.unpack_from("<Q", raw, 247)[0]
-    scale = struct.unpack_from("<6d", raw, 131)
-    at = 16 if kind >= 6 else 15
-    one = np.dtype({"names": ["x", "y", "z", "c"], "formats": ["<i4", "<i4", "<i4", "u1"], "offsets": [0, 4, 8, at], "itemsize": length})
-    p = np.frombuffer(raw, one, count=count, offset=start)
-    out = np.empty(len(p), [("x", "f8"), ("y", "f8"), ("z", "f8"), ("c", "i4")])
-    for i, k in enumerate("xyz"):
-        out[k] = p[k] * scale[i] + scale[3 + i]
-    out["c"] = p["c"] if kind >= 6 else p["c"] & 0x1F
-    return out
-
-
-def point_clouds(spark: SparkSession, folder: str, pattern: str = "*.las") -> DataFrame:
-    """file, x, y, z, classification, error of LAS files; a file that cannot be read is one row with its error."""
-
-    def read(batches):
-        for batch in batches:
-            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                try:
-                    p, error = las_points(raw), None
-                except (ValueError, struct.error, IndexError) as e:
-                    p, error = np.zeros(0, [("x", "f8"), ("y", "f8"), ("z", "f8"), ("c", "i4")]), str(e)
-                name = path.rsplit("/", 1)[-1]
-                if error:
-                    yield pa.RecordBatch.from_pylist([{"file": name, "x": None, "y": None, "z": None, "classification": None, "error": error}], schema=schema)
-                for at in range(0, len(p), 100_000):
-                    q = p[at : at + 100_000]
-                    cols = [pa.array([name] * len(q)), *(pa.array(np.ascontiguousarray(q[k])) for k in ("x", "y", "z", "c")), pa.nulls(len(q), pa.string())]
-                    yield pa.RecordBatch.from_arrays(cols, schema=schema)
-
-    schema = pa.schema([("file", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64()), ("classification", pa.int32()), ("error", pa.string())])
-    d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
-    return d.mapInArrow(read, "file string, x double, y double, z double, classification int, error string")

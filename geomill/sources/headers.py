@@ -12,38 +12,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from geomill.sources import clouds
 from geomill.sources.files import world_files
+from geomill.sources.ranges import Ranged
 
 
-def _headers(spark: SparkSession, folder: str, pattern: str, parse: Callable[[bytes], tuple], fields: list[str]) -> DataFrame:
-    """name, the doubles that parse(content) gives, and error, a row a file."""
+def _headers(spark: SparkSession, folder: str, pattern: str, parse: Callable[[Ranged], tuple], fields: list[str]) -> DataFrame:
+    """name, the doubles that parse(file) gives, and error, a row a file. Only the blocks that parse asks for are read."""
     schema = pa.schema([("name", pa.string()), *((f, pa.float64()) for f in fields), ("error", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, raw in zip(batch.column("path"), batch.column("content"), strict=True):
-                row = {"name": path.as_py().rsplit("/", 1)[-1]}
+            for path in batch.column("path").to_pylist():
+                row = {"name": path.rsplit("/", 1)[-1]}
                 try:
-                    row |= dict(zip(fields, parse(raw.as_py()), strict=True))
+                    with Ranged(path) as f:
+                        row |= dict(zip(fields, parse(f), strict=True))
                 except (ValueError, KeyError, IndexError, struct.error) as e:
                     row["error"] = str(e) or type(e).__name__
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
-    d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")  # contents are not read
     return d.mapInArrow(read, ", ".join(["name string", *(f"{f} double" for f in fields), "error string"]))
 
 
-def las_bounds(raw: bytes) -> tuple:
-    """Bounds of the public header block, which packed clouds keep as it is."""
-    if raw[:4] != b"LASF":
-        raise ValueError("not a point cloud")
-    maxx, minx, maxy, miny, maxz, minz = struct.unpack_from("<6d", raw, 179)
-    return minx, miny, minz, maxx, maxy, maxz
-
-
 def cloud_bounds(spark: SparkSession, folder: str, pattern: str = "*.la[sz]") -> DataFrame:
-    """name, minx, miny, minz, maxx, maxy, maxz, error of point clouds, packed or not."""
-    return _headers(spark, folder, pattern, las_bounds, ["minx", "miny", "minz", "maxx", "maxy", "maxz"])
+    """name, minx, miny, minz, maxx, maxy, maxz, error of point clouds, packed or not: packed ones keep the public header."""
+    return clouds.headers(spark, folder, pattern).select("name", *clouds.BOUNDS, "error")
 
 
 #: Tags of the TIFF and GeoTIFF descriptions, and bytes and letters of their number types.
@@ -51,25 +46,23 @@ _WIDTH, _HEIGHT, _SCALE, _TIE, _MATRIX = 256, 257, 33550, 33922, 34264
 _TYPES = {1: (1, "B"), 3: (2, "H"), 4: (4, "I"), 12: (8, "d"), 16: (8, "Q")}
 
 
-def tiff_place(raw: bytes) -> tuple:
+def tiff_place(f: Ranged) -> tuple:
     """width, height, pw, ph, x0, y0 of a TIFF; without a place on the map that of a pixel grid (1, 1, 0, 0)."""
-    order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if order is None or struct.unpack_from(order + "H", raw, 2)[0] not in (42, 43):
+    order = {b"II": "<", b"MM": ">"}.get(f.read(0, 2))
+    kind = f.unpack(order + "H", 2)[0] if order else 0
+    if kind not in (42, 43):
         raise ValueError("not a TIFF")
-    big = struct.unpack_from(order + "H", raw, 2)[0] == 43
-    at = struct.unpack_from(order + ("Q" if big else "I"), raw, 8 if big else 4)[0]
-    n, at, step, room = (struct.unpack_from(order + "Q", raw, at)[0], at + 8, 20, 8) if big else (struct.unpack_from(order + "H", raw, at)[0], at + 2, 12, 4)
+    whole = "Q" if kind == 43 else "I"
+    (at,) = f.unpack(order + whole, 8 if kind == 43 else 4)
+    (n,), at, step, room = (f.unpack(order + "Q", at), at + 8, 20, 8) if kind == 43 else (f.unpack(order + "H", at), at + 2, 12, 4)
     tags = {}
-    for i in range(n):
-        here = at + i * step
-        tag, kind = struct.unpack_from(order + "HH", raw, here)
-        count = struct.unpack_from(order + ("Q" if big else "I"), raw, here + 4)[0]
+    for here in range(at, at + n * step, step):
+        tag, kind = f.unpack(order + "HH", here)
+        (count,) = f.unpack(order + whole, here + 4)
         if tag in (_WIDTH, _HEIGHT, _SCALE, _TIE, _MATRIX) and kind in _TYPES:
             size, letter = _TYPES[kind]
-            value = here + step - room
-            if size * count > room:
-                value = struct.unpack_from(order + ("Q" if big else "I"), raw, value)[0]
-            tags[tag] = struct.unpack_from(f"{order}{count}{letter}", raw, value)
+            value = here + step - room if size * count <= room else f.unpack(order + whole, here + step - room)[0]
+            tags[tag] = f.unpack(f"{order}{count}{letter}", value)
     side = float(tags[_WIDTH][0]), float(tags[_HEIGHT][0])
     if _SCALE in tags and _TIE in tags:
         (pw, ph), (i, j, _, x, y, _) = tags[_SCALE][:2], tags[_TIE][:6]
@@ -80,10 +73,10 @@ def tiff_place(raw: bytes) -> tuple:
     return *side, 1.0, 1.0, 0.0, 0.0
 
 
-def ascii_place(raw: bytes) -> tuple:
+def ascii_place(f: Ranged) -> tuple:
     """width, height, pw, ph, x0, y0 of an ASCII grid, by its first lines."""
     head = {}
-    for line in raw[:1000].decode("ascii", "ignore").splitlines()[:6]:
+    for line in f.read(0, 1000).decode("ascii", "ignore").splitlines()[:6]:
         parts = line.split()
         if len(parts) == 2 and parts[0][:1].isalpha():
             head[parts[0].lower()] = float(parts[1])
@@ -95,7 +88,7 @@ def ascii_place(raw: bytes) -> tuple:
 
 def raster_places(spark: SparkSession, folder: str, pattern: str = "*.{tif,tiff,asc}") -> DataFrame:
     """name, width, height, pw, ph, x0, y0, error of rasters; the origin is the upper left corner."""
-    place = lambda raw: tiff_place(raw) if raw[:2] in (b"II", b"MM") else ascii_place(raw)
+    place = lambda f: tiff_place(f) if f.read(0, 2) in (b"II", b"MM") else ascii_place(f)
     return _headers(spark, folder, pattern, place, ["width", "height", "pw", "ph", "x0", "y0"])
 
 

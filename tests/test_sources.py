@@ -5,7 +5,7 @@ import struct
 
 import pytest
 from geomill.plans import modes
-from geomill.sources import files, sinks
+from geomill.sources import clouds, files, sinks
 from geomill.streaming.increments import follow, not_done
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ def test_point_cloud(spark, tmp_path):
     body = b"".join(struct.pack("<iiiHBBbBH", i * 100, i * 200, i * 50, 0, 0, c, 0, 0, 0) for i, c in enumerate((2, 6, 1)))
     (tmp_path / "a.las").write_bytes(bytes(head) + body)
     (tmp_path / "b.las").write_bytes(b"nothing")
-    got = files.point_clouds(spark, str(tmp_path)).collect()
+    got = clouds.points(spark, str(tmp_path)).collect()
     assert sorted((r.x, r.y, r.z, r.classification) for r in got if not r.error) == [(1000.0, 2000.0, 0.0, 2), (1001.0, 2002.0, 0.5, 6), (1002.0, 2004.0, 1.0, 1)]
     assert [r.file for r in got if r.error] == ["b.las"]
 
