@@ -36,6 +36,20 @@ def _header(f: Ranged) -> dict:
     return out | {"points": points, "start": start, "kind": kind, "record": record, "scale": list(f.unpack("<6d", 131))}
 
 
+def whole(f: Ranged) -> None:
+    """ValueError unless the cloud's records, or the chunk table of a packed one, lie within the file. Header and at most one offset are read."""
+    try:
+        h = _header(f)
+    except struct.error:
+        raise ValueError("cut short") from None
+    if h["kind"] < 128:
+        end = h["start"] + h["points"] * h["record"]
+    else:
+        end = f.unpack("<q", h["start"])[0] + 8 if h["points"] and f.size >= h["start"] + 8 else h["start"] + 8 * (h["points"] > 0)
+    if f.size < end:
+        raise ValueError("cut short")
+
+
 def headers(spark: SparkSession, folder: str, pattern: str = "*.la[sz]") -> DataFrame:
     """path, name, bounds, points, start, kind (with the bit of packed clouds), record, scale, taken (bytes read) and error, a row a file.
 

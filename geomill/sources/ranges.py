@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyarrow import fs
 
@@ -18,8 +19,8 @@ def located(path: str) -> tuple[fs.FileSystem, str]:
 class Ranged:
     """A file whose bytes are read on demand, in blocks that are kept; `taken` counts the bytes read."""
 
-    def __init__(self, path: str, block: int = 256) -> None:
-        system, place = located(path)
+    def __init__(self, path: str, block: int = 256, system: fs.FileSystem | None = None) -> None:
+        system, place = (system, path) if system else located(path)
         self.file, self.block, self.taken = system.open_input_file(place), block, 0
         self.size = self.file.size()
         self.blocks: dict[int, bytes] = {}
@@ -47,12 +48,24 @@ class Ranged:
         return struct.unpack(form, self.read(at, struct.calcsize(form)))
 
 
-def put(folder: str, name: str, parts: list[bytes]) -> None:
-    """Write a file under a name of its own and move it into place: a task that runs again replaces it, a lost one leaves no half file."""
+def put(folder: str, name: str, parts: Iterable[bytes], check: Callable[[Ranged], None] = lambda _: None) -> int:
+    """Write a file under a name of its own, check it and move it into place; its bytes.
+
+    A task that runs again replaces the file, a lost one leaves no half file under the name, one that fails nothing.
+    """
     system, place = located(folder)
     system.create_dir(place, recursive=True)
     aside = f"{place}/.{name}.{uuid.uuid4().hex}"
-    with system.open_output_stream(aside) as out:
-        for p in parts:
-            out.write(p)
-    system.move(aside, f"{place}/{name}")
+    try:
+        with system.open_output_stream(aside) as out:
+            for p in parts:
+                out.write(p)
+        with Ranged(aside, system=system) as f:
+            check(f)
+            size = f.size
+        system.move(aside, f"{place}/{name}")
+    except BaseException:
+        if system.get_file_info(aside).type == fs.FileType.File:
+            system.delete_file(aside)
+        raise
+    return size

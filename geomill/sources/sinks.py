@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geomill.sources.ranges import put
+
 
 def world_text(pw: Column, ph: Column, x0: Column, y0: Column, rotation: tuple[Column, Column] | None = None) -> Column:
     """The six lines of a world file; rotations below 1e-10 are 0."""
@@ -59,3 +64,14 @@ def by_class(features: DataFrame, folder: str) -> None:
     if "confidence" in kept:
         d = d.fillna({"confidence": -1.0})
     d.write.mode("overwrite").partitionBy("class_name").parquet(folder)
+
+
+def each(rows: DataFrame, folder: str) -> DataFrame:
+    """A file for each of rows(name, text); name and bytes of those written (an action writes them). Names are to differ."""
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [{"name": r["name"], "bytes": put(folder, r["name"], [(r["text"] or "").encode()])} for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("name", pa.string()), ("bytes", pa.int64())]))
+
+    return rows.select("name", "text").mapInArrow(save, "name string, bytes long")
