@@ -352,6 +352,50 @@ def test_paragraphs_of_repeated_ids(spark):
     assert rest[rows[-1]] == 1 and all(rest[r] == 1 for r in rows if r[0] < 100) and sum(rest.values()) == len(rows)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.integers(0, 150), st.sampled_from([1, 2, 3, 7, 11, 30, 10**6]))
+def test_every_word_lies_in_a_paragraph(seed, n, different):
+    """Random and recurring words: no gap between paragraphs, and none so near another that it would link with it."""
+    rng = random.Random(seed)
+    pool = [_words(rng, 1) for _ in range(min(different, 200))]
+    text = " ".join(pool[i % len(pool)] if different < 30 else rng.choice(pool) for i in range(n))
+    first = sorted(blocks(text))
+    whole = n < paragraph_dedup.LENGTH + paragraph_dedup.APART
+    covered = {i for p in first for i in range(p, n if whole else p + paragraph_dedup.LENGTH)}
+    assert covered == set(range(n)) and all(b - a >= paragraph_dedup.APART for a, b in zip(first, first[1:], strict=False))
+    assert len(first) <= n / 11 + 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.lists(st.integers(0, 120), min_size=1, max_size=6))
+def test_anchors_by_ascending_hash(seed, lengths):
+    value = np.random.default_rng(seed).integers(0, 1 << 63, sum(lengths), dtype=np.uint64)
+    want, base = [], 0
+    for n in lengths:
+        taken = []
+        for x in sorted(range(n), key=lambda x: int(value[base + x])):
+            if all(abs(x - y) > 10 for y in taken):
+                taken.append(x)
+        want += sorted(base + x for x in taken)
+        base += n
+    i = np.concatenate([np.arange(n) for n in lengths])
+    left = np.concatenate([n - np.arange(n) for n in lengths])
+    assert paragraph_dedup.anchors(value, i, left, 10).tolist() == want
+
+
+def test_paragraphs_at_ends_and_of_short_texts(spark):
+    """Repeated heads, tails and short texts are found and cut, lone ones are not; an overlapped kept paragraph stays whole."""
+    rng = random.Random(16)
+    head, tail, short, bare, lone = (_words(rng, n) for n in (24, 24, 22, 3, 23))
+    rows = [(i, head + " " + _words(rng, 70)) for i in (1, 2)] + [(i, _words(rng, 70) + " " + tail) for i in (3, 4)]
+    rows += [(5, short), (6, short.upper().replace(" ", "\n")), (7, bare), (8, " " + bare), (9, lone), (10, "Th " * 200), (11, _words(rng, 26)), (12, _words(rng, 25))]
+    hit = {(r.doc_id, r.paragraph, r.kept_doc_id, r.kept_paragraph) for r in paragraph_dedup.repeated_paragraphs(frame(spark, rows)).collect()}
+    assert {x for x in hit if x[0] != 10} == {(1, 0, 1, 0), (2, 0, 1, 0), (3, 70, 3, 70), (4, 70, 3, 70), (5, 0, 5, 0), (6, 0, 5, 0), (7, 0, 7, 0), (8, 0, 7, 0)}
+    rest = {r.doc_id: r.text.split() for r in paragraph_dedup.remove_repeated(frame(spark, rows)).collect()}
+    w = {k: t.split() for k, t in rows}
+    assert rest == w | {2: w[2][24:], 4: w[4][:70], 6: [], 8: [], 10: ["Th"] * 24}
+
+
 # ---- exact substrings
 
 
