@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geomill.operators.graph import rooted as components
-from geomill.operators.stages import discard, shared_dir, written
+from geomill.operators.stages import discard, shared_dir, tidy, written
 
-__all__ = ["components", "discard", "shared_dir", "written"]
+__all__ = ["components", "discard", "shared_dir", "tidy", "written"]
 
 #: A side is broadcast only when it is counted to have no more rows, and measured to have no more bytes, than these.
 BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 16_000_000

@@ -15,14 +15,14 @@ _ANY = mixed(np.arange(1, 1025, dtype=np.uint64), 101)
 _ODD = mixed(np.arange(1, 1025, dtype=np.uint64), 202) | np.uint64(1)
 
 
-def minhash(values: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
-    """k minima of each nonempty row of `values`, one row of the result each."""
+def minhash(values: np.ndarray, off: np.ndarray, k: int, first: int = 0) -> np.ndarray:
+    """k minima of each nonempty row of `values`, from the one numbered `first`, one row of the result each."""
     start = off[:-1][np.diff(off) > 0]
     out = np.empty((len(start), k), np.uint64)
     if len(start):
         with np.errstate(over="ignore"):
             for j in range(k):
-                out[:, j] = np.minimum.reduceat((values ^ _ANY[j]) * _ODD[j], start)
+                out[:, j] = np.minimum.reduceat((values ^ _ANY[first + j]) * _ODD[first + j], start)
     return mixed(out, 7)
 
 

@@ -7,14 +7,16 @@ Anchors are so near each other that, with a paragraph at either end of a text, e
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geomill.llm.common import Rolling, bounded_batches, discard, mixed, packed, slices, small_or_not, text_bytes, with_type, written
+from geomill.llm.common import Rolling, bounded_batches, discard, mixed, packed, slices, small_or_not, text_bytes, tidy, with_type, written
 from geomill.llm.common import words as split_words
-from geomill.llm.near import exact_classes, minhash
+from geomill.llm.near import LARGE, exact_classes, minhash
 
 #: Words of a paragraph; word pairs become anchors by ascending hash, each unless one lies within REACH pairs. So next
 #: anchors are 11 to 21 pairs apart.
@@ -25,6 +27,8 @@ APART = 3
 ROUNDS = 10
 #: Bands of ROWS minima. At Jaccard 0.8 a pair shares a band with chance 1 - (1 - 0.8^3)^8 = 0.997, at 0.9 with 0.99997.
 BANDS, ROWS = 8, 3
+#: Passes over bands, over texts and over sets, each with its share of them all: what one shuffles is off the disk before the next.
+PASSES = 2
 #: Bytes of the 64-byte signature that may differ before sets are intersected: five standard deviations at Jaccard 0.8.
 DIFFERING = 29
 _VALUES = 64
@@ -123,20 +127,20 @@ class Blocks:
         return v[new], np.r_[0, np.cumsum(new.sum(1))]
 
 
-def band_keys(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """BANDS keys of each set."""
-    low = minhash(values, at, BANDS * ROWS)
-    keys = np.empty((len(low), BANDS), np.uint64)
-    for b in range(BANDS):
+def band_keys(values: np.ndarray, at: np.ndarray, bands: range = range(BANDS)) -> np.ndarray:
+    """The keys of each set in some consecutive bands."""
+    low = minhash(values, at, len(bands) * ROWS, bands.start * ROWS)
+    keys = np.empty((len(low), len(bands)), np.uint64)
+    for c, b in enumerate(bands):
         key = np.full(len(low), b, np.uint64)
         for j in range(ROWS):
-            key = mixed(key ^ low[:, b * ROWS + j], 41)
-        keys[:, b] = key
+            key = mixed(key ^ low[:, c * ROWS + j], 41)
+        keys[:, c] = key
     return keys
 
 
-def _keyed(k: int, length: int, reach: int):
-    """A row for each band of each paragraph. Overlapping paragraphs that cannot link have one row for a band they share.
+def _keyed(k: int, length: int, reach: int, bands: range):
+    """A row for each of these bands of each paragraph. Overlapping paragraphs that cannot link have one row for a band they share.
 
     A place is the first word times `length`, plus the step to the next paragraph's if the row stands for that too.
     """
@@ -147,14 +151,14 @@ def _keyed(k: int, length: int, reach: int):
                 blocks = Blocks(*text_bytes(part.column("text")), k, length, reach)
                 for lo in range(0, len(blocks.row), 20_000):
                     which = np.arange(lo, min(lo + 20_000, len(blocks.row)))
-                    keys = band_keys(*blocks.sets(which))
+                    keys = band_keys(*blocks.sets(which), bands)
                     step = blocks.overlapped(which)
-                    same = np.zeros((len(which) + 1, BANDS), bool)  # a paragraph and the one before it
+                    same = np.zeros((len(which) + 1, len(bands)), bool)  # a paragraph and the one before it
                     same[1:-1] = (keys[1:] == keys[:-1]) & (step[:-1, None] > 0)
                     both = same[1:] & ~same[:-1]  # stands for the next as well
-                    alone = ~np.r_[np.zeros((1, BANDS), bool), both[:-1]].reshape(-1)
+                    alone = ~np.r_[np.zeros((1, len(bands)), bool), both[:-1]].reshape(-1)
                     place = (blocks.first[which].astype(np.int64)[:, None] * length + both * step[:, None]).reshape(-1)[alone]
-                    ids = part.column("doc_id").take(pa.array(np.repeat(blocks.row[which], BANDS)[alone]))
+                    ids = part.column("doc_id").take(pa.array(np.repeat(blocks.row[which], len(bands))[alone]))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(keys.reshape(-1)[alone].view(np.int64)), pa.array(place)], ["doc_id", "key", "place"])
 
     return scan
@@ -229,6 +233,45 @@ def _signed(batches):
             )
 
 
+def _listed(num: int, den: int):
+    """Each element of each row; any two rows of a similarity of num/den or more share one of `most`, whatever the order of elements."""
+
+    def scan(batches):
+        for batch in batches:
+            if batch.num_rows:
+                values, at = _values(batch.column("elements"))
+                size = np.diff(at)
+                names, of = ["grp", "id"], pa.array(np.repeat(np.arange(batch.num_rows), size))
+                most = np.repeat(size - -(-size * num // den) + 1, size).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in names), pa.array(values.view(np.int64)), pa.array(most)], [*names, "element", "most"])
+
+    return scan
+
+
+def narrowed(sets: DataFrame, num: int, den: int, large: int = LARGE) -> DataFrame:
+    """Rows (grp, id, elements) with groups of more than `large` rows split, so that no pair that can link is parted.
+
+    A common passage inside many different paragraphs gives them a band in common, but few of them link. The elements of a
+    row are put in order, those first that the fewest rows of its group have. Rows of a similarity of num/den or more have
+    an element in common among the first n - ceil(n num / den) + 1 of each (prefix filter), so every row goes to one
+    group for each of these, and nothing else is compared. Groups with the same members are one.
+    """
+    big = written(sets.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > large).select("grp"), "large")
+    if big.isEmpty():
+        return sets
+    rows = sets.join(small_or_not(big), "grp")
+    listed = written(rows.mapInArrow(_listed(num, den), "grp long, id long, element long, most int"), "listed")
+    often = listed.groupBy("grp", "element").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("grp", "id").orderBy("n", "element"))
+    parts = listed.join(often, ["grp", "element"]).withColumn("rank", rank).where("rank <= most and n > 1")
+    parts = written(parts.select("id", "grp", F.xxhash64("grp", "element").alias("part")), "parts")
+    sized = parts.groupBy("part").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x")).where("n > 1")
+    parts = parts.join(sized, "part").select("grp", "id", F.xxhash64("x", "n").alias("part")).distinct()
+    split = written(rows.join(parts, ["grp", "id"]).select(F.col("part").alias("grp"), "id", "elements").distinct(), "split")
+    discard(listed)
+    return sets.join(small_or_not(big), "grp", "left_anti").select("grp", "id", "elements").union(split)
+
+
 def repeated_paragraphs(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 4, den: int = 5, length: int = LENGTH, reach: int = REACH
 ) -> DataFrame:
@@ -251,41 +294,73 @@ def repeated_paragraphs(
     are one place; rows that share an id only each have their paragraphs under it. Empty table: no rows. Other columns
     are not carried.
     """
+    with tidy(docs.sparkSession):
+        return _repeated(docs, key, text, words, num, den, length, reach)
+
+
+def _repeated(docs: DataFrame, key: str, text: str, words: int, num: int, den: int, length: int, reach: int) -> DataFrame:
     kind = docs.schema[key].dataType
     bounded_batches(docs.sparkSession)
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     place = with_type("doc_id", kind, "paragraph int")
-    keys = d.mapInArrow(_keyed(words, length, reach), with_type("doc_id", kind, "key long, place long"))
-    keys = keys.repartition("key").sortWithinPartitions("key")
-    wanted = keys.mapInArrow(_several(length), place).groupBy("doc_id").agg(F.collect_set("paragraph").alias("wanted"))
+
+    def share(column: str, i: int):
+        return F.pmod(F.xxhash64(column), F.lit(PASSES)) == i
+
+    dealt = []
+    for i in range(PASSES):
+        bands = range(BANDS * i // PASSES, BANDS * (i + 1) // PASSES)
+        keys = d.mapInArrow(_keyed(words, length, reach, bands), with_type("doc_id", kind, "key long, place long"))
+        keys = keys.select("key", "place", "doc_id").repartition("key").sortWithinPartitions("key")
+        dealt.append(written(keys.mapInArrow(_several(length), place).groupBy("doc_id").agg(F.collect_set("paragraph").alias("wanted")), "wanted"))
+    wanted = reduce(DataFrame.union, dealt).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("wanted"))).alias("wanted"))
     wanted = written(wanted, "wanted")
-    blocks = d.join(small_or_not(wanted), "doc_id").select("doc_id", "text", "wanted")
-    blocks = blocks.mapInArrow(_elements(words, length, reach), with_type("doc_id", kind, "paragraph int, elements binary, plain boolean"))
-    blocks = written(blocks, "paragraphs")
+    discard(*dealt)
+    some, elements = small_or_not(wanted), with_type("doc_id", kind, "paragraph int, elements binary, plain boolean")
+    read = []
+    for i in range(PASSES):
+        blocks = d.where(share("doc_id", i)).join(some, "doc_id").select("doc_id", "text", "wanted")
+        read.append(written(blocks.mapInArrow(_elements(words, length, reach), elements), "paragraphs"))
+    discard(wanted)
+    blocks = reduce(DataFrame.union, read)
+    digest = F.unhex(F.md5("elements")).alias("set")  # for joins, where a set need only be told from others
+    places = blocks.select("doc_id", "paragraph", digest)
     unique = d.groupBy("doc_id").count().where("count > 1").isEmpty()
     if not unique:
         blocks = blocks.select("doc_id", "paragraph", "elements", F.lit(False).alias("plain")).distinct()
-    classes = blocks.groupBy("elements").agg(F.min(F.struct("doc_id", "paragraph", "plain")).alias("at"), F.count("*").alias("n"))
-    classes = classes.select(F.monotonically_increasing_id().alias("id"), "elements", F.struct("at.doc_id", "at.paragraph").alias("at"), "n", "at.plain")
-    classes = written(classes, "classes")
+        places = places.distinct()
+    classed = []
+    for i in range(PASSES):
+        classes = blocks.where(share("elements", i)).groupBy("elements")
+        classes = classes.agg(F.min(F.struct("doc_id", "paragraph", "plain")).alias("at"), F.count("*").alias("n"))
+        number = (F.monotonically_increasing_id() * PASSES + i).alias("id")
+        classes = classes.select(number, "elements", digest, F.struct("at.doc_id", "at.paragraph").alias("at"), "n", "at.plain")
+        classed.append(written(classes, "classes"))
+    classes = reduce(DataFrame.union, classed)
+    places = written(places, "places")
+    discard(*read)
     banded = written(classes.select("id", "elements").mapInArrow(_banded, "key long, id long"), "bands")
     # a candidate group is what shares a band; groups with the same members are one
-    groups = banded.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x")).where("n > 1")
-    groups = banded.join(groups, "key").select(F.xxhash64("x", "n").alias("grp"), "id").distinct()
+    by_key = banded.repartition("key")  # most keys are alone, so counts before the exchange would not shrink it
+    groups = by_key.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x")).where("n > 1")
+    groups = by_key.join(groups, "key").select(F.xxhash64("x", "n").alias("grp"), "id").distinct()
     if unique:  # what only overlaps itself in one text, without recurring shingles, cannot link
-        groups = written(groups.join(classes.select("id", "at", "plain"), "id"), "groups")
+        groups = met = written(groups.join(classes.select("id", "at", "plain"), "id"), "groups")
         low, high = F.min("at").alias("low"), F.max("at").alias("high")
         apart = (F.col("low.doc_id") != F.col("high.doc_id")) | (F.col("high.paragraph") - F.col("low.paragraph") >= length) | ~F.col("plain")
         found = groups.groupBy("grp").agg(low, high, F.min("plain").alias("plain")).where(apart)
         groups = groups.select("grp", "id").join(found.select("grp"), "grp")
-    sets = groups.join(classes.select("id", "elements"), "id").select("grp", "id", "elements")
-    linked = exact_classes(sets.mapInArrow(_signed, "grp long, id long, sig binary, elements binary"), "long", num, den, DIFFERING)
+    sets = written(groups.join(classes.select("id", "elements"), "id").select("grp", "id", "elements"), "members")
+    classes = written(classes.select("id", "set", "at", "n"), "classes")
+    discard(banded, *classed, *([met] if unique else []))
+    narrow = narrowed(sets, num, den)
+    linked = exact_classes(narrow.mapInArrow(_signed, "grp long, id long, sig binary, elements binary"), "long", num, den, DIFFERING)
     linked = written(linked.join(classes.select("id", "at"), "id"), "linked")
     least = linked.groupBy("root").agg(F.min("at").alias("kept_at"))
     linked = linked.join(least, "root").select("id", "kept_at")
-    named = classes.join(linked, "id", "left").where("n > 1 or kept_at is not null").select("elements", F.coalesce("kept_at", "at").alias("kept_at"))
-    out = blocks.join(named, "elements")
-    discard(wanted, banded)
+    discard(sets)
+    named = classes.join(linked, "id", "left").where("n > 1 or kept_at is not null").select("set", F.coalesce("kept_at", "at").alias("kept_at"))
+    out = places.join(named, "set")
     return out.select(
         "doc_id", "paragraph", F.col("kept_at.doc_id").alias("kept_doc_id"), F.col("kept_at.paragraph").alias("kept_paragraph"),
         (F.struct("doc_id", "paragraph") == F.col("kept_at")).alias("kept"),

@@ -3,8 +3,10 @@
 import base64
 import collections
 import hashlib
+import pathlib
 import random
 import re
+import time
 import warnings
 import zlib
 
@@ -396,6 +398,42 @@ def test_paragraphs_at_ends_and_of_short_texts(spark):
     assert rest == w | {2: w[2][24:], 4: w[4][:70], 6: [], 8: [], 10: ["Th"] * 24}
 
 
+def test_paragraphs_leave_no_shuffle_files(spark):
+    """What a step shuffles is off the disk when the step ends, whether or not the driver has collected garbage."""
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {f for d in folders for f in pathlib.Path(d).rglob("shuffle_*.data")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(name, None)
+    assert paragraph_dedup.repeated_paragraphs(frame(spark, ROWS)).columns and spark.conf.get(name, None) == setting
+    for _ in range(100):  # executors remove them on their own time
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+
+
+def test_groups_of_a_common_passage_are_split(spark):
+    """No pair that links is parted, pairs that share the passage alone hardly meet, and small groups stay."""
+    rng = np.random.default_rng(17)
+    common, sets = rng.integers(0, 1 << 62, 9), []
+    for i in range(300):
+        own = sets[-1][:-1] if i % 5 == 4 else np.r_[common, rng.integers(0, 1 << 62, 11)]
+        sets.append(np.r_[own, rng.integers(0, 1 << 62, 20 - len(own))])
+    sets = [np.sort(x.astype(np.uint64)) for x in sets] + [np.array([i], np.uint64) for i in (5, 6)]
+    rows = [(1 if i < 300 else 2, i, bytearray(x.tobytes())) for i, x in enumerate(sets)]
+    got = paragraph_dedup.narrowed(spark.createDataFrame(rows, "grp long, id long, elements binary"), 4, 5, large=50).collect()
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r.grp].add(r.id)
+        assert bytes(r.elements) == sets[r.id].tobytes()
+    met = {(a, b) for ids in by.values() for a in ids for b in ids if a < b}
+    links = {(a, b) for a in range(300) for b in range(a + 1, 300) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+    assert links <= met and len(links) >= 50 and (300, 301) in met and len(met) < 2 * len(links)
+
+
 # ---- exact substrings
 
 
