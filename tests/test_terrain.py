@@ -85,3 +85,11 @@ def test_few_points(spark):
     three = spark.createDataFrame([(0.0, 0.0, 0.0), (10.0, 0.0, 10.0), (0.0, 10.0, 0.0)], "x double, y double, z double")
     got = {(r.col, r.row): r.z for r in raster.terrain(three, 0.0, 10.0, 1.0, 4, 1).collect()}
     assert got and all(h == pytest.approx(c + 0.5) for (c, _), h in got.items()) and (0, 9) in got and (9, 0) not in got
+
+
+def test_stretch_rounds_near_halves_like_its_sql(spark):
+    """11.49998 is 11.5 to four places and so 12, as 12.50002 is 12.5 and so 12; noise of a sum does not decide."""
+    values = [11.49998, 12.50002, 11.4999, 12.5001, 11.5 - 1e-12, 12.5 + 1e-12, -3.0, 300.0]
+    rows = spark.createDataFrame([(i, v / 255.0) for i, v in enumerate(values)], "col int, value double")
+    got = {r.col: r.value for r in raster.stretched(rows, 0.0, 1.0).collect()}
+    assert [got[i] for i in range(len(values))] == [12, 12, 11, 13, 12, 12, 0, 255]
