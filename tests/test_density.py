@@ -48,3 +48,11 @@ def test_merged_and_linked(spark):
     edges = spark.createDataFrame([(f"é{i}" if i % 2 else str(i), f"é{j}" if j % 2 else str(j)) for i, j in zip(a.tolist(), b.tolist(), strict=True)] + [(None, "1")], "a string, b string")
     one = sorted(map(tuple, graph.linked(edges).collect()))
     assert one == sorted(map(tuple, graph.linked(edges, few=10).collect())) and one
+
+
+def test_cluster_shapes_of_a_crowd(spark):
+    """One cluster of 200,000 members in 2,500 places, and one of two members that is too small for a shape."""
+    rows = spark.range(200_000).selectExpr("id", "cast(id % 50 as double) AS x", "cast(floor(id / 50) % 50 as double) AS y", "0.5D AS confidence")
+    rows = rows.union(spark.createDataFrame([(200_001, 900.0, 0.0, 0.1), (200_002, 901.0, 0.0, 0.1)], "id long, x double, y double, confidence double"))
+    got = det.cluster_shapes(det.dbscan(rows, 60.0, 2)).collect()
+    assert [(r.cluster, r.nb_detect, r.area_m2, len(r.hull)) for r in got] == [(0, 200_000, 49.0 * 49, 4)]
