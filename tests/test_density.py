@@ -56,3 +56,11 @@ def test_cluster_shapes_of_a_crowd(spark):
     rows = rows.union(spark.createDataFrame([(200_001, 900.0, 0.0, 0.1), (200_002, 901.0, 0.0, 0.1)], "id long, x double, y double, confidence double"))
     got = det.cluster_shapes(det.dbscan(rows, 60.0, 2)).collect()
     assert [(r.cluster, r.nb_detect, r.area_m2, len(r.hull)) for r in got] == [(0, 200_000, 49.0 * 49, 4)]
+
+
+def test_run_clusters_of_a_crowd(spark):
+    """A class of 200,000 detections in 2,500 places is one cluster, and another class does not see it."""
+    rows = spark.range(200_000).selectExpr("id", "if(id = 7, 'b', 'a') AS class_name", "0.5D AS confidence", "cast(id % 50 as double) AS x", "cast(floor(id / 50) % 50 as double) AS y")
+    shapes, tagged = det.run_clusters(rows, [{"target_classes": ["a"], "buffer_m": 0.0}, {"target_classes": ["b"], "min_cluster_size": 1, "min_samples": 2}])
+    assert [(r.cluster_id, r.nb_detect, r.area_m2) for r in shapes.collect()] == [("cluster_a_0", 199_999, 49.0 * 49)]
+    assert {r.cluster_id: r["count"] for r in tagged.groupBy("cluster_id").count().collect()} == {"cluster_a_0": 199_999, None: 1}
