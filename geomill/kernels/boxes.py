@@ -22,20 +22,145 @@ def greedy(b: np.ndarray, threshold: float, metric: str) -> np.ndarray:
     return keep
 
 
-def suppressed(a: list, b: list, sa: list, sb: list) -> list:
-    """Of pairs that exclude each other what goes when the best score is kept first, then the smaller id."""
-    pairs = [((-x, i), (-y, j)) if (-x, i) < (-y, j) else ((-y, j), (-x, i)) for i, j, x, y in zip(a, b, sa, sb, strict=True)]
-    gone = set()
-    for best, other in sorted(pairs):
-        if best[1] not in gone:
-            gone.add(other[1])
-    return list(gone)
-
-
-def pairwise_drops(a: list, b: list, sa: list, sb: list) -> list:
-    """Of pairs a < b, met in order, the less sure one goes, b on ties; what is gone drives out no other."""
-    gone = set()
-    for i, j, x, y in sorted(zip(a, b, sa, sb, strict=True)):
-        if i not in gone and j not in gone:
-            gone.add(j if x >= y else i)
-    return list(gone)
+GONE, ALIVE, UNKNOWN = 0, 1, 2
+_CANDIDATES = 1_000_000
+
+
+def sharing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The area that boxes share."""
+    w = np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0])
+    return np.maximum(w, 0) * np.maximum(np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1]), 0)
+
+
+class Bins:
+    """Boxes by the bin of their lower left corner; a bin is as wide as the widest box, so what touches a box lies in 3 x 3 bins."""
+
+    def __init__(self, box: np.ndarray):
+        self.box = box
+        low, far = box[:, :2].min(0), box[:, :2].max(0)
+        side = float(max((box[:, 2:] - box[:, :2]).max(), (far - low).max() / 1000, 1e-9)) * (1 + 1e-9)
+        at = np.floor((box[:, :2] - low) / side).astype(np.int64)
+        to = np.floor((box[:, 2:] - low) / side).astype(np.int64)
+        nx, ny = at.max(0) + 1
+        key = at[:, 0] * ny + at[:, 1]
+        self.rows = np.argsort(key, kind="stable")
+        start = np.searchsorted(key[self.rows], np.arange(nx * ny + 1))
+        columns = at[:, :1] + np.array([-1, 0, 1])
+        below, above = np.maximum(at[:, 1:] - 1, 0), np.minimum(to[:, 1:], ny - 1)
+        ok = (columns >= 0) & (columns < nx) & (columns <= to[:, :1])
+        columns = np.clip(columns, 0, nx - 1)
+        self.low = start[columns * ny + below]
+        self.high = np.where(ok, start[columns * ny + above + 1], self.low)
+        self.count = (self.high - self.low).sum(1)
+
+    def touching(self, some: np.ndarray, most: int = _CANDIDATES):
+        """Pieces of pairs (row of `some`, later row that it touches), for about `most` candidates at a time; a piece tells how far it goes."""
+        ends = np.cumsum(self.count[some])
+        at = 0
+        while at < len(some):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield some[at:to], *self._pairs(some[at:to])
+            at = to
+
+    def _pairs(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, n = self.low[rows].ravel(), (self.high[rows] - self.low[rows]).ravel()
+        one = np.repeat(np.repeat(rows, 3), n)
+        two = self.rows[np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+        later = two > one
+        one, two = one[later], two[later]
+        a, b = self.box[one], self.box[two]
+        meet = (a[:, 0] <= b[:, 2]) & (b[:, 0] <= a[:, 2]) & (a[:, 1] <= b[:, 3]) & (b[:, 1] <= a[:, 3])
+        return one[meet], two[meet]
+
+
+def _swept(box: np.ndarray, sure: np.ndarray, excludes, meet) -> np.ndarray:
+    """States of boxes in their order after each that is not gone has met the later ones that `excludes` pairs it with.
+
+    sure: which boxes have all that they touch in this window; the others may have been taken by what is not here.
+    """
+    state = np.where(sure, ALIVE, UNKNOWN).astype(np.int8)
+    bins = Bins(box)
+    at = 0
+    while at < len(box):
+        rest = at + np.flatnonzero(state[at:] != GONE)
+        if not len(rest):
+            break
+        lot, one, two = next(bins.touching(rest))
+        at = int(lot[-1]) + 1
+        here = state[two] != GONE
+        one, two = one[here], two[here]
+        here = excludes(one, two)
+        one, two = one[here], two[here]
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        rows, start = np.unique(one, return_index=True)
+        for i, j, k in zip(rows.tolist(), start.tolist(), np.r_[start, len(one)][1:].tolist(), strict=True):
+            if state[i] != GONE:
+                meet(state, i, two[j:k])
+    return state
+
+
+def suppressed(box: np.ndarray, sure: np.ndarray, threshold: float, metric: str) -> np.ndarray:
+    """States of boxes that come best first: one that stays drives out what it excludes."""
+    size = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+
+    def excludes(a, b):
+        both = sharing(box[a], box[b])
+        whole = np.minimum(size[a], size[b]) if metric == "IOS" else size[a] + size[b] - both
+        return both / np.maximum(whole, 1e-10) >= threshold
+
+    def meet(state, i, others):
+        if state[i] == ALIVE:
+            state[others] = GONE
+        else:
+            state[others[state[others] == ALIVE]] = UNKNOWN
+
+    return _swept(box, sure, excludes, meet)
+
+
+def pairwise_drops(box: np.ndarray, sure: np.ndarray, score: np.ndarray, tiles: list[frozenset], of: np.ndarray, threshold: float) -> np.ndarray:
+    """States of boxes in their order: of two that exclude each other and share a tile the less sure one goes, the later on ties.
+
+    tiles: sets of tiles, and `of` the one of each box. What is gone drives out no other.
+    """
+    size = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+    common: dict[int, np.ndarray] = {}
+
+    def share(a, b):
+        out = np.zeros(len(a), bool)
+        for k in np.unique(of[a]).tolist():
+            if k not in common:
+                common[k] = np.array([not tiles[k].isdisjoint(t) for t in tiles])
+            own = of[a] == k
+            out[own] = common[k][of[b[own]]]
+        return out
+
+    def excludes(a, b):
+        both = sharing(box[a], box[b])
+        whole = size[a] + size[b] - both
+        over = np.divide(both, whole, out=np.zeros(len(a)), where=whole > 0) > threshold
+        over[over] = share(a[over], b[over])
+        return over
+
+    def meet(state, i, others):
+        others = others[state[others] != GONE]
+        loses = score[others] > score[i]
+        if loses.any():
+            known = state[others] == ALIVE
+            end = np.flatnonzero(loses & known)
+            if len(end):  # here it meets one that takes it for certain
+                state_after, others, loses, known = GONE, others[: end[0]], loses[: end[0]], known[: end[0]]
+            else:
+                state_after = UNKNOWN
+            doubt = np.flatnonzero(loses)  # others that take it if they are still there
+            first = int(doubt[0]) if state[i] == ALIVE and len(doubt) else (len(others) if state[i] == ALIVE else 0)
+            mine = np.arange(len(others))
+            state[others[~loses & (mine < first)]] = GONE
+            state[others[~loses & (mine >= first) & known]] = UNKNOWN
+            state[i] = state_after
+        elif state[i] == ALIVE:
+            state[others] = GONE
+        else:
+            state[others[state[others] == ALIVE]] = UNKNOWN
+
+    return _swept(box, sure, excludes, meet)

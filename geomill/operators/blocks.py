@@ -38,11 +38,11 @@ def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[t
         yield tuple(held[0][k].iloc[0] for k in keys), pd.concat(held, ignore_index=True)
 
 
-def by_block(rows: DataFrame, keys: list[str], kernel: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """kernel(key, rows of the key) for every value of the keys, none of which is null."""
+def by_block(rows: DataFrame, keys: list[str], kernel: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str, order: list[str] = ()) -> DataFrame:
+    """kernel(key, rows of the key in order) for every value of the keys, none of which is null."""
 
     def run(batches):
         for key, part in groups(batches, keys):
             yield kernel(key, part)
 
-    return spread(rows, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return spread(rows, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
