@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from geomill.kernels.density import merged
+
 
 def greedy(b: np.ndarray, threshold: float, metric: str) -> np.ndarray:
     """Which boxes stay: each one that stays drives out the later ones that overlap it by the threshold or more."""
@@ -43,6 +45,7 @@ class Bins:
         to = np.floor((box[:, 2:] - low) / side).astype(np.int64)
         nx, ny = at.max(0) + 1
         key = at[:, 0] * ny + at[:, 1]
+        self.key = key
         self.rows = np.argsort(key, kind="stable")
         start = np.searchsorted(key[self.rows], np.arange(nx * ny + 1))
         columns = at[:, :1] + np.array([-1, 0, 1])
@@ -62,10 +65,14 @@ class Bins:
             yield some[at:to], *self._pairs(some[at:to])
             at = to
 
-    def _pairs(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low, n = self.low[rows].ravel(), (self.high[rows] - self.low[rows]).ravel()
+    def listed(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row with all that stands from low to high in the order of bins."""
+        low, n = low.ravel(), (high - low).ravel()
         one = np.repeat(np.repeat(rows, 3), n)
-        two = self.rows[np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+        return one, self.rows[np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+
+    def _pairs(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, two = self.listed(rows, self.low[rows], self.high[rows])
         later = two > one
         one, two = one[later], two[later]
         a, b = self.box[one], self.box[two]
@@ -118,6 +125,40 @@ def suppressed(box: np.ndarray, sure: np.ndarray, threshold: float, metric: str)
     return _swept(box, sure, excludes, meet)
 
 
+def joined(box: np.ndarray, threshold: float) -> np.ndarray:
+    """The first of the boxes that each is linked to by an IoU over the threshold, over others too.
+
+    Boxes next to each other in their bin are tried first. After that only those outside of the largest group ask, and only
+    bins that hold another group than theirs, so a crowd that is one group costs no look at its pairs.
+    """
+    size = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+    bins = Bins(box)
+
+    def linked(label, one, two):
+        both = sharing(box[one], box[two])
+        whole = size[one] + size[two] - both
+        hit = np.divide(both, whole, out=np.zeros(len(one)), where=whole > 0) > threshold
+        return merged(len(box), label[one[hit]], label[two[hit]])[label]
+
+    label = np.arange(len(box))
+    beside = bins.rows[np.lexsort((box[bins.rows, 0], bins.key[bins.rows]))]
+    for k in range(1, min(9, len(box))):
+        label = linked(label, beside[:-k], beside[k:])
+    todo = np.flatnonzero(label != np.bincount(label).argmax())
+    while len(todo):
+        own = label[bins.rows]
+        change = np.r_[0, np.cumsum(own[1:] != own[:-1])]
+        low, high = bins.low[todo], bins.high[todo]
+        same = (high <= low) | ((change[np.maximum(high, 1) - 1] == change[np.minimum(low, len(box) - 1)]) & (own[np.minimum(low, len(box) - 1)] == label[todo][:, None]))
+        low = np.where(same, high, low)
+        take = max(1, int(np.searchsorted(np.cumsum((high - low).sum(1)), _CANDIDATES, "right")))
+        one, two = bins.listed(todo[:take], low[:take], high[:take])
+        apart = label[one] != label[two]
+        label = linked(label, one[apart], two[apart])
+        todo = todo[take:]
+    return label
+
+
 def pairwise_drops(box: np.ndarray, sure: np.ndarray, score: np.ndarray, tiles: list[frozenset], of: np.ndarray, threshold: float) -> np.ndarray:
     """States of boxes in their order: of two that exclude each other and share a tile the less sure one goes, the later on ties.
 
