@@ -42,7 +42,13 @@ def by_block(rows: DataFrame, keys: list[str], kernel: Callable[[tuple, pd.DataF
     """kernel(key, rows of the key in order) for every value of the keys, none of which is null."""
 
     def run(batches):
+        held: list[pd.DataFrame] = []
         for key, part in groups(batches, keys):
-            yield kernel(key, part)
+            held.append(kernel(key, part))
+            if sum(map(len, held)) > 20_000 or len(held) > 200:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+        if held:
+            yield pd.concat(held, ignore_index=True)
 
     return spread(rows, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

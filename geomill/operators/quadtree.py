@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geomill.kernels import counting
+from geomill.operators.blocks import by_block
 from geomill.operators.graph import cells
 from geomill.operators.stages import written
 
@@ -95,6 +99,29 @@ def box_pairs(left: DataFrame, right: DataFrame, size: float, keys: list[str] =
     return pairs.where(meet & first).drop(*_CELL, "salt")
 
 
+def met(rows: DataFrame, size: float, most: int = 100_000, depth: int = 4) -> DataFrame:
+    """(id, n): how many other boxes each of rows(id, box) overlaps or touches, for those that meet any.
+
+    A leaf's boxes are counted together by rank, so the work grows with the boxes and not with the pairs, and a leaf may
+    hold any number of boxes. Only boxes of several leaves have their counts added up. Ids are taken to be unique.
+    """
+    side = {f.name: f.dataType.simpleString() for f in rows.schema}
+    tree = crowded(rows, size, most, depth)
+    leaves = dealt(rows.select("id", "minx", "miny", "maxx", "maxy"), tree, size, most, len(tree), None).drop("salt")
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        level, cx, cy = key
+        wide = size / 2.0**level
+        box = pdf[["minx", "miny", "maxx", "maxy"]].to_numpy(float)
+        n = counting.met_here(box, cx * wide, cy * wide)
+        many = (np.floor(box[:, [0, 2]] / wide) != cx).any(1) | (np.floor(box[:, [1, 3]] / wide) != cy).any(1)
+        return pd.DataFrame({"id": pdf["id"], "n": n, "many": many})
+
+    found = written(by_block(leaves, _CELL, count, f"id {side['id']}, n long, many boolean"), "met")
+    added = found.where("many").groupBy("id").agg(F.sum("n").alias("n")).unionByName(found.where("not many").select("id", "n"))
+    return added.select("id", (F.col("n") - 1).alias("n")).where("n > 0")
+
+
 def point_pairs(points: DataFrame, eps: float, most: int = 20_000, depth: int = 4) -> DataFrame:
     """Ordered pairs (a, b) of points(id, x, y) at a distance of eps or less, as graph.point_pairs gives them, in crowded places too."""
     here = points.select("id", "x", "y", F.col("x").alias("minx"), F.col("x").alias("maxx"), F.col("y").alias("miny"), F.col("y").alias("maxy"))
